@@ -223,13 +223,19 @@ def _coder(name: str, path: str) -> bpe.PieceEncoder:
     return bpe.PieceEncoder(path, learn, whole)
 
 
+_published: set[tuple[str, str]] = set()
+
+
 def publish(spark, lexicon: bytes) -> str:
     """Hand the compiled lexicon to all executors; its name there."""
     name = f"lexicon-{hashlib.sha256(lexicon).hexdigest()[:24]}.matl"
-    file = os.path.join(tempfile.mkdtemp(prefix="hashloom-lexicon-"), name)
-    with open(file, "wb") as f:
-        f.write(lexicon)
-    spark.sparkContext.addFile(file)
+    key = spark.sparkContext.applicationId, name
+    if key not in _published:
+        file = os.path.join(tempfile.mkdtemp(prefix="hashloom-lexicon-"), name)
+        with open(file, "wb") as f:
+            f.write(lexicon)
+        spark.sparkContext.addFile(file)
+        _published.add(key)
     return name
 
 

@@ -6,20 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexicon, repair
+from . import decontam, lexicon, media, repair, secret_scan, simhash
 from .shared import table
 
 
+def op3_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.containers(table(spark, sf_dir, "documents")))
+
+
+def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_output(table(spark, sf_dir, "documents"))
 
 
+def op9_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe_lexicon, op7_repair_ids)}
+    return {f.__name__: f for f in (op3_spaced_seed_leaks, op4_bpe_lexicon, op5_iso_media, op6_simhash_tiles, op7_repair_ids, op9_randomness_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

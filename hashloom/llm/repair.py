@@ -27,7 +27,7 @@ from .shared import id_and_text, stored
 #: Ids in a block, about: it bounds the memory of a task. A block has one document at least.
 BLOCK_IDS = 1 << 20
 #: Rounds of replacement, pairs replaced in a round, and the least count of a pair worth a rule.
-ROUNDS, PAIRS, LEAST = 5, 8192, 12
+ROUNDS, PAIRS, LEAST = 4, 8192, 12
 _SLOT_BITS = 20
 _NULL_ID = -(1 << 63)
 
@@ -39,70 +39,83 @@ def encoder(path: str) -> bpe.PieceEncoder:
     """Encoder over the tokenizers library, one per process."""
     if path not in _encoders:
         lib = bpe.library(path)
-        many = lambda words: [e.ids for e in lib.encode_batch_fast(words, add_special_tokens=False)]
-        _encoders[path] = bpe.PieceEncoder(path, many, lambda t: many([t])[0])
-    return _encoders[path]
+        letter = {b: c for c, b in bpe.byte_letters().items()}
+        piece = lib.model.tokenize
 
+        def learn(words: list[str]) -> list[list[int]]:
+            # a piece is what the library's splitter hands to its model: bytes written as letters
+            return [[t.id for t in piece(w.replace(" ", letter[32]) if w.isascii() and w.isprintable() else "".join(map(letter.__getitem__, w.encode())))] for w in words]
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    """Place of a pair in a table of 2**_SLOT_BITS."""
-    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        _encoders[path] = bpe.PieceEncoder(path, learn, lambda t: lib.encode_batch_fast([t], add_special_tokens=False)[0].ids, limit=1_000_000)
+    return _encoders[path]
 
 
 def compress(seq: np.ndarray, doc_of: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, the document of each, and the rules (pairs of symbols). `doc_of` is non-decreasing; pairs within a document alone are replaced."""
-    seq, rules = seq.astype(np.int64), []
+    """Symbols, the document of each, and the rules (pairs of symbols). `doc_of` is non-decreasing; pairs within a document alone are replaced.
+
+    Pairs are counted in a hash table whose slots each stand for one pair; of pairs that share a slot one is seen in a round, which costs
+    a little space and never correctness."""
+    seq, rules, count = seq.astype(np.uint32), [], 0
+    slots = 1 << _SLOT_BITS
+    breaks = np.flatnonzero(doc_of[1:] != doc_of[:-1])  # places of the last symbol of each document but the last
     for _ in range(ROUNDS):
         if len(seq) < 2 * LEAST:
             break
-        key = (seq[:-1] << 31) | seq[1:]
-        inside = doc_of[:-1] == doc_of[1:]
-        ordered = np.sort(key[inside])
-        if not len(ordered):
-            break
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        count = np.diff(np.append(edge, len(ordered)))
-        good = np.flatnonzero(count >= LEAST)
+        a, b = seq[:-1], seq[1:]
+        slot = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _SLOT_BITS)).astype(np.int64)
+        slot[breaks] = slots
+        holder = np.zeros(slots + 1, np.int64)
+        holder[slot] = np.arange(len(slot))
+        holder[slots] = 0
+        often = np.bincount(slot, minlength=slots + 1)
+        often[slots] = 0
+        good = np.flatnonzero(often >= LEAST)
         if not len(good):
             break
         if len(good) > PAIRS:
-            good = good[np.argpartition(-count[good], PAIRS)[:PAIRS]]
-        good = good[np.argsort(-count[good], kind="stable")]
-        chosen = ordered[edge[good]]  # most frequent first
-        slot = _slot(chosen)
-        rank_at = np.full(1 << _SLOT_BITS, len(chosen), np.int32)
-        rank_at[slot[::-1]] = np.arange(len(chosen) - 1, -1, -1)  # of pairs that share a slot the most frequent stays
-        rank = rank_at[_slot(key)]
-        known = np.append(chosen, -1)
-        rank[(known[rank] != key) | ~inside] = len(chosen)
+            good = good[np.argpartition(-often[good], PAIRS)[:PAIRS]]
+        good = good[np.argsort(-often[good], kind="stable")]  # most frequent first
+        left, right = a[holder[good]], b[holder[good]]
+        none = len(good)
+        rank_at = np.full(slots + 1, none, np.int32)
+        rank_at[good] = np.arange(none)
+        rank = rank_at[slot]
+        maybe = np.flatnonzero(rank < none)
+        r = rank[maybe]
+        wrong = (left[r] != a[maybe]) | (right[r] != b[maybe])
+        rank[maybe[wrong]] = none
+        where, r = maybe[~wrong], r[~wrong]
         # where chosen pairs overlap the more frequent wins; runs of one pair (aaaa) are taken from the left
-        hit = rank < len(chosen)
-        hit[:-1] &= rank[:-1] <= rank[1:]
-        same = np.zeros(len(rank), bool)
-        same[1:] = rank[1:] == rank[:-1]
-        hit[1:] &= rank[1:] <= rank[:-1]
-        same &= hit
-        where = np.flatnonzero(hit)
-        if same.any():
-            first = ~same[where]
-            start = np.maximum.accumulate(np.where(first, where, 0))
-            where = where[(where - start) % 2 == 0]
-            where = where[np.append(True, np.diff(where) > 1)]
+        around = np.full(len(rank) + 2, none, np.int32)
+        around[1:-1] = rank
+        fits = (r <= around[where + 2]) & (r <= around[where])
+        same = fits & (r == around[where])
+        where, r, same = where[fits], r[fits], same[fits]
         if not len(where):
             break
-        taken = rank[where]
-        number = np.zeros(len(chosen), np.int64)
-        number[taken] = 1
+        if same.any():
+            start = np.maximum.accumulate(np.where(~same, where, 0))
+            even = (where - start) % 2 == 0
+            where, r = where[even], r[even]
+            apart = np.append(True, np.diff(where) > 1)
+            where, r = where[apart], r[apart]
+        number = np.zeros(none, np.int64)
+        number[r] = 1
         used = np.flatnonzero(number)
-        number[used] = base + len(rules) + np.arange(len(used))
-        seq[where] = number[taken]
-        rules.extend(zip(chosen[used] >> 31, chosen[used] & 0x7FFFFFFF))
+        number[used] = base + count + np.arange(len(used))
+        seq[where] = number[r]
+        rules.append(np.stack((left[used], right[used]), axis=1))
+        count += len(used)
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
-        seq, doc_of = seq[keep], doc_of[keep]
+        seq = seq[keep]
+        breaks = breaks - np.searchsorted(where + 1, breaks, side="right")
         if len(where) < 0.02 * len(seq):
             break
-    return seq.astype(np.uint32), doc_of, np.array(rules, np.uint32).reshape(-1, 2)
+    first = np.concatenate(([0], breaks + 1))
+    docs = np.unique(doc_of)
+    new_doc_of = np.repeat(docs, np.diff(np.append(first, len(seq)))) if len(seq) else doc_of[:0]
+    return seq, new_doc_of, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
 def pack(ids: list[np.ndarray], doc_ids: list[int], start: int, vocab: int) -> bytes:
