@@ -102,6 +102,110 @@ class Vocabulary:
         return [x for x, keep in zip(ids, alive) if keep]
 
 
+_NEVER = np.int32(2**31 - 1)
+_SLOTS = 1 << 19
+
+
+class Merger:
+    """Exact merging of many short words side by side."""
+
+    def __init__(self, vocab: Vocabulary) -> None:
+        self.vocab = vocab
+        self.byte_id = np.array(vocab.byte_id, np.int64)
+        pair = np.array([(a << 20) | b for a, b in vocab.merge], np.int64)
+        rank = np.array([r for r, _ in vocab.merge.values()], np.int32)
+        new = np.array([n for _, n in vocab.merge.values()], np.int64)
+        self.key, self.rank, self.new = np.full(_SLOTS, -1, np.int64), np.full(_SLOTS, _NEVER, np.int32), np.zeros(_SLOTS, np.int64)
+        left = np.arange(len(pair))
+        step = 0
+        while len(left):  # linear probing, a step for all that are left at a time
+            slot = (self._slot(pair[left]) + step) % _SLOTS
+            free = self.key[slot] == -1
+            _, first = np.unique(slot, return_index=True)
+            placed = np.zeros(len(left), bool)
+            placed[first] = True
+            placed &= free
+            at = slot[placed]
+            self.key[at], self.rank[at], self.new[at] = pair[left[placed]], rank[left[placed]], new[left[placed]]
+            left, step = left[~placed], step + 1
+        self.probes = step
+
+    @staticmethod
+    def _slot(pair: np.ndarray) -> np.ndarray:
+        return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).astype(np.int64)
+
+    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Slot of each pair that can be merged, else -1. Negative ids stand for nothing."""
+        pair = np.where((a < 0) | (b < 0), np.int64(-2), (a << 20) | b)
+        slot = self._slot(pair)
+        out = np.full(len(pair), -1, np.int64)
+        todo = np.flatnonzero(pair >= 0)
+        for _ in range(self.probes):
+            at = slot[todo]
+            hit = self.key[at] == pair[todo]
+            out[todo[hit]] = at[hit]
+            todo = todo[~hit & (self.key[at] != -1)]
+            if not len(todo):
+                break
+            slot[todo] = (slot[todo] + 1) % _SLOTS
+        return out
+
+    def many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each has."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        out: list = [None] * len(words)
+        low = 0
+        for high in (4, 8, 12, 16, 24, 32):
+            group = np.flatnonzero((size > low) & (size <= high))
+            for at in range(0, len(group), 4096):
+                self._group([words[k] for k in group[at : at + 4096]], size[group[at : at + 4096]], high, group[at : at + 4096], out)
+            low = high
+        for k in np.flatnonzero(size > 32):
+            out[k] = np.array(self.vocab.merged(words[k]), np.uint32)
+        empty = np.zeros(0, np.uint32)
+        got = [empty if x is None else x for x in out]
+        return (np.concatenate(got) if got else empty), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _group(self, words: list[bytes], size: np.ndarray, width: int, group: np.ndarray, out: list) -> None:
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        ids = self.byte_id[raw]
+        ids[np.arange(width)[None, :] >= size[:, None]] = -1
+        slot = self._find(ids[:, :-1].ravel(), ids[:, 1:].ravel())
+        rank = np.where(slot < 0, _NEVER, self.rank[slot]).reshape(len(words), width - 1)
+        n, row = size.copy(), np.arange(len(words))
+        places = np.arange(width)[None, :]
+        while len(row):
+            at = rank.argmin(axis=1)
+            lane = np.arange(len(row))
+            live = rank[lane, at] < _NEVER
+            if not live.all():
+                for k in np.flatnonzero(~live):
+                    out[group[row[k]]] = ids[k, : n[k]].astype(np.uint32)
+                ids, rank, n, row, at = ids[live], rank[live], n[live], row[live], at[live]
+                if not len(row):
+                    break
+                lane = np.arange(len(row))
+            merged = self.new[self._find(ids[lane, at], ids[lane, at + 1])]
+            shift = np.minimum(places + (places > at[:, None]), width - 1)
+            ids = np.take_along_axis(ids, shift, axis=1)
+            n = n - 1
+            ids[lane, at] = merged
+            ids[lane, n] = -1
+            rank = np.take_along_axis(rank, shift[:, : width - 1].clip(max=width - 2), axis=1)
+            rank[lane, np.minimum(n, width - 2)] = _NEVER
+            rank[lane, np.maximum(n - 1, 0)] = _NEVER
+            for to in (at - 1, at):
+                ok = (to >= 0) & (to < n - 1)
+                i, j = lane[ok], to[ok]
+                slot = self._find(ids[i, j], ids[i, j + 1])
+                rank[i, j] = np.where(slot < 0, _NEVER, self.rank[slot])
+
+
+@lru_cache(4)
+def merger(path: str) -> Merger:
+    return Merger(vocabulary(path))
+
+
 @lru_cache(4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -144,12 +248,12 @@ class _Index(dict):
 
 
 class PieceEncoder:
-    """Ids of whole texts, with one call of `learn` for each distinct piece while it stays in a bounded memo.
+    """Ids of whole texts, where `learn` (ids of many pieces, and how many each has) sees a piece once while it stays in a bounded memo.
 
     Texts are cut at single spaces between words, where a piece always begins, so a word with its punctuation is looked up once.
     Key "x" stands for " x", key "\\0x" for "x". Texts with odd characters or special tokens go to `whole`."""
 
-    def __init__(self, path: str, learn: Callable[[list[str]], list], whole: Callable[[str], list[int]], limit: int = 400_000) -> None:
+    def __init__(self, path: str, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], list[int]], limit: int = 400_000) -> None:
         self.path, self.learn, self.whole, self.limit = path, learn, whole, limit
         self.special = vocabulary(path).special
         self._clear()
@@ -185,10 +289,8 @@ class PieceEncoder:
         while len(index) > len(self.begin):
             self.begin, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.length))
         if single:
-            got = self.learn([x for _, x in single])
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            numbers = np.fromiter((k for k, _ in single), np.int64, len(got))
-            flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(n.sum()))
+            flat, n = self.learn([x for _, x in single])
+            numbers = np.fromiter((k for k, _ in single), np.int64, len(single))
             while self.used + len(flat) > len(self.flat):
                 self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
             self.flat[self.used : self.used + len(flat)] = flat

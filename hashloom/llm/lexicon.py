@@ -60,10 +60,12 @@ def word_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         special = bpe.vocabulary(path).special
         held: Counter = Counter()
         for pdf in batches:
-            held.update(_count(pdf["text"].tolist(), special, path))
-            if len(held) > 400_000:
-                yield pd.DataFrame({"word": list(held.keys()), "n": list(held.values())})
-                held = Counter()
+            texts = pdf["text"].tolist()
+            for at in range(0, len(texts), 2000):
+                held.update(_count(texts[at : at + 2000], special, path))
+                if len(held) > 300_000:
+                    yield pd.DataFrame({"word": list(held.keys()), "n": list(held.values())})
+                    held = Counter()
         words = list(held.keys())
         for at in range(0, len(words), 50_000):
             some = words[at : at + 50_000]
@@ -197,30 +199,35 @@ class Lexicon:
             alive = alive[~ended]
         return out
 
-    def lookup(self, words: list[bytes]) -> list:
-        got = self.numbers(words)
-        ids, begin = self.ids, self.begin
-        return [None if k < 0 else ids[begin[k] : begin[k + 1]].tolist() for k in got.tolist()]
-
 
 @lru_cache(4)
 def _coder(name: str, path: str) -> bpe.PieceEncoder:
     from pyspark import SparkFiles
 
     file = SparkFiles.get(name)
-    lexicon, vocab = Lexicon(file), bpe.vocabulary(path)
+    lexicon, vocab, merge = Lexicon(file), bpe.vocabulary(path), bpe.merger(path)
 
-    def learn(words: list[str]) -> list[list[int]]:
+    def learn(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids from the lexicon; unseen words are merged."""
         raw = [w.encode("utf-8", "surrogateescape") for w in words]
-        return [vocab.merged(w) if got is None else got for w, got in zip(raw, lexicon.lookup(raw))]
+        number = lexicon.numbers(raw)
+        known = np.flatnonzero(number >= 0)
+        unseen = np.flatnonzero(number < 0)
+        flat, n = merge.many([raw[k] for k in unseen])
+        source = np.concatenate((lexicon.ids, flat))
+        begin, size = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
+        begin[known], size[known] = lexicon.begin[number[known]], lexicon.begin[number[known] + 1] - lexicon.begin[number[known]]
+        begin[unseen], size[unseen] = len(lexicon.ids) + np.cumsum(n) - n, n
+        end = np.cumsum(size)
+        return source[np.repeat(begin - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)], size
 
     def whole(text: str) -> list[int]:
         out: list[int] = []
         for part in bpe.segments(text, vocab.special):
-            out += [part] if isinstance(part, int) else [i for ids in learn(bpe.pieces(part, path)) for i in ids]
+            out += [part] if isinstance(part, int) else learn(bpe.pieces(part, path))[0].tolist()
         return out
 
-    return bpe.PieceEncoder(path, learn, whole)
+    return bpe.PieceEncoder(path, learn, whole, limit=700_000)
 
 
 _published: set[tuple[str, str]] = set()
@@ -239,10 +246,14 @@ def publish(spark, lexicon: bytes) -> str:
     return name
 
 
+def _prepared(docs: DataFrame, tokenizer: str | None, words: list[str] | None) -> tuple[str, str]:
+    path = tokenizer or bpe.default_path()
+    return path, publish(docs.sparkSession, compile_lexicon(frequent_words(docs, path) if words is None else words, path))
+
+
 def encode(docs: DataFrame, tokenizer: str | None = None, words: list[str] | None = None) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers) of each document. `words`: the lexicon's; else found in `docs`."""
-    path = tokenizer or bpe.default_path()
-    name = publish(docs.sparkSession, compile_lexicon(frequent_words(docs, path) if words is None else words, path))
+    path, name = _prepared(docs, tokenizer, words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _coder(name, path)
@@ -254,6 +265,21 @@ def encode(docs: DataFrame, tokenizer: str | None = None, words: list[str] | Non
     return id_and_text(docs).mapInPandas(run, "doc_id long, ids binary")
 
 
+def round_trip(docs: DataFrame, tokenizer: str | None = None, words: list[str] | None = None) -> DataFrame:
+    """doc_id, ids, text: each document encoded and its ids decoded again, in one pass so that a task has one worker."""
+    path, name = _prepared(docs, tokenizer, words)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = _coder(name, path)
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                ids = [x.astype("<u4") for x in coder.batch(part["text"].tolist())]
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": [x.tobytes() for x in ids], "text": [decoded(x, path) for x in ids]})
+
+    return id_and_text(docs).mapInPandas(run, "doc_id long, ids binary, text string")
+
+
 @lru_cache(4)
 def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     vocab = bpe.vocabulary(path)
@@ -286,7 +312,7 @@ def decode(coded: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of each document."""
-    return decode(encode(docs, tokenizer), tokenizer).select(
+    return round_trip(docs, tokenizer).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
