@@ -42,9 +42,11 @@ def encoder(path: str) -> bpe.PieceEncoder:
         letter = {b: c for c, b in bpe.byte_letters().items()}
         piece = lib.model.tokenize
 
-        def learn(words: list[str]) -> list[list[int]]:
+        def learn(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             # a piece is what the library's splitter hands to its model: bytes written as letters
-            return [[t.id for t in piece(w.replace(" ", letter[32]) if w.isascii() and w.isprintable() else "".join(map(letter.__getitem__, w.encode())))] for w in words]
+            got = [[t.id for t in piece(w.replace(" ", letter[32]) if w.isascii() and w.isprintable() else "".join(map(letter.__getitem__, w.encode())))] for w in words]
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            return np.fromiter((i for ids in got for i in ids), np.uint32, int(n.sum())), n
 
         _encoders[path] = bpe.PieceEncoder(path, learn, lambda t: lib.encode_batch_fast([t], add_special_tokens=False)[0].ids, limit=1_000_000)
     return _encoders[path]
