@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lexicon, media, pii, repair, secret_scan, sharding, simhash, toxicity
+from . import decontam, lexicon, licenses, media, pii, repair, secret_scan, sharding, simhash, toxicity
 from .shared import table
 
 
@@ -47,8 +47,12 @@ def op9_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.families(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extendible_shards, op2_boosted_pii, op3_spaced_seed_leaks, op4_bpe_lexicon, op5_iso_media, op6_simhash_tiles, op7_repair_ids, op8_weak_toxicity, op9_randomness_secrets)}
+    return {f.__name__: f for f in (op1_extendible_shards, op2_boosted_pii, op3_spaced_seed_leaks, op4_bpe_lexicon, op5_iso_media, op6_simhash_tiles, op7_repair_ids, op8_weak_toxicity, op9_randomness_secrets, op10_license_paragraphs)}
 
 
 def oracle_sql() -> dict[str, str]:
