@@ -38,7 +38,7 @@ class _Hashes(dict):
     def __missing__(self, token: str) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[token] = h = xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
         return h
@@ -158,6 +158,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKEN
             for pdf in batches:
                 rows = [(d, *x) for d, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"]) for x in items.leaks(token_hashes(t))]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "agree", "first_token", "run_tokens"]).astype({"doc_id": "Int64", "item_id": "int64", "agree": "int32", "first_token": "int32", "run_tokens": "int32"})
+            _hashes.clear()  # the worker goes on to other tasks
 
         found = text.mapInPandas(run, schema)
         out = found if out is None else out.unionByName(found)

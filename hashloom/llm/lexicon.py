@@ -61,9 +61,9 @@ def word_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         held: Counter = Counter()
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for at in range(0, len(texts), 2000):
-                held.update(_count(texts[at : at + 2000], special, path))
-                if len(held) > 300_000:
+            for at in range(0, len(texts), 1000):
+                held.update(_count(texts[at : at + 1000], special, path))
+                if len(held) > 150_000:
                     yield pd.DataFrame({"word": list(held.keys()), "n": list(held.values())})
                     held = Counter()
         words = list(held.keys())
@@ -227,7 +227,7 @@ def _coder(name: str, path: str) -> bpe.PieceEncoder:
             out += [part] if isinstance(part, int) else learn(bpe.pieces(part, path))[0].tolist()
         return out
 
-    return bpe.PieceEncoder(path, learn, whole, limit=700_000)
+    return bpe.PieceEncoder(path, learn, whole, limit=400_000)
 
 
 _published: set[tuple[str, str]] = set()
