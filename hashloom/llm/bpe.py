@@ -235,6 +235,10 @@ def pieces(text: str, path: str) -> list[str]:
     return [bytes(_LETTERS[c] for c in s).decode("utf-8", "surrogateescape") for s, _ in split]
 
 
+#: Marks that end a word and are a piece of their own after letters.
+_MARKS = frozenset(".,!?;:)")
+
+
 class _Index(dict):
     """Key -> number; an unseen key gets the next number and is noted as new."""
 
@@ -262,42 +266,58 @@ class PieceEncoder:
         self.index = _Index()
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
         self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.resolved = 0
 
-    def _put(self, number: int, ids) -> None:
-        n = len(ids)
-        while self.used + n > len(self.flat):
+    def _store(self, numbers: np.ndarray, flat: np.ndarray, n: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        self.flat[self.used : self.used + n] = ids
-        self.begin[number], self.length[number] = self.used, n
-        self.used += n
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.begin[numbers], self.length[numbers] = self.used + np.cumsum(n) - n, n
+        self.used += len(flat)
+
+    def _gather(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered keys one after the other, and where each ends."""
+        n = self.length[code]
+        end = np.cumsum(n)
+        return self.flat[np.repeat(self.begin[code] - end + n, n) + np.arange(int(end[-1]) if len(end) else 0)], end
 
     @staticmethod
     def _key(piece: str) -> str:
         return piece[1:] if len(piece) > 1 and piece[0] == " " and not piece[1].isspace() else "\0" + piece
 
     def _resolve(self) -> None:
-        index, joined, single = self.index, [], []
+        """Find the ids of all keys noted as new: single pieces from `learn`, the others from their pieces."""
+        index, text, single = self.index, [], []
+        joined, parts, stop = [], [], []
         while index.new:
             fresh, index.new = index.new, []
-            for key in fresh:
-                text = key[1:] if key[:1] == "\0" else " " + key
-                parts = SPLIT.findall(text)
-                if len(parts) == 1:
-                    single.append((index[key], text))
+            for number, key in enumerate(fresh, self.resolved):
+                if key.isalpha():
+                    single.append(number)
+                    text.append(" " + key)
+                elif key[-1:] in _MARKS and key[:-1].isalpha():
+                    joined.append(number)
+                    parts += (index[key[:-1]], index["\0" + key[-1]])
+                    stop.append(len(parts))
                 else:
-                    joined.append((index[key], [index[self._key(x)] for x in parts]))
+                    whole = key[1:] if key[:1] == "\0" else " " + key
+                    split = SPLIT.findall(whole)
+                    if len(split) == 1:
+                        single.append(number)
+                        text.append(whole)
+                    else:
+                        joined.append(number)
+                        parts += [index[self._key(x)] for x in split]
+                        stop.append(len(parts))
+            self.resolved += len(fresh)
         while len(index) > len(self.begin):
             self.begin, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.length))
         if single:
-            flat, n = self.learn([x for _, x in single])
-            numbers = np.fromiter((k for k, _ in single), np.int64, len(single))
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.begin[numbers], self.length[numbers] = self.used + np.cumsum(n) - n, n
-            self.used += len(flat)
-        for number, parts in joined:
-            self._put(number, np.concatenate([self.flat[self.begin[k] : self.begin[k] + self.length[k]] for k in parts]) if parts else [])
+            self._store(np.array(single), *self.learn(text))
+        if joined:
+            flat, end = self._gather(np.array(parts, np.int64))
+            at = np.concatenate(([0], end))[np.array(stop)]
+            self._store(np.array(joined), flat, np.diff(at, prepend=0))
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > self.limit:
@@ -319,10 +339,7 @@ class PieceEncoder:
         if codes:
             self._resolve()
             code = np.concatenate(codes)
-            n = self.length[code]
-            end = np.cumsum(n)
-            total = int(end[-1]) if len(end) else 0
-            ids = self.flat[np.repeat(self.begin[code] - end + n, n) + np.arange(total)]
+            ids, end = self._gather(code)
             stop = np.cumsum([len(c) for c in codes])
             at = 0
             for i, s in zip(which, stop):

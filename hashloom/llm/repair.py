@@ -27,8 +27,8 @@ from .shared import id_and_text, stored
 #: Ids in a block, about: it bounds the memory of a task. A block has one document at least.
 BLOCK_IDS = 1 << 20
 #: Rounds of replacement, pairs replaced in a round, and the least count of a pair worth a rule.
-ROUNDS, PAIRS, LEAST = 4, 8192, 12
-_SLOT_BITS = 20
+ROUNDS, PAIRS, LEAST = 3, 4096, 12
+_SLOT_BITS = 18
 _NULL_ID = -(1 << 63)
 
 
@@ -120,6 +120,18 @@ def compress(seq: np.ndarray, doc_of: np.ndarray, base: int) -> tuple[np.ndarray
     return seq, new_doc_of, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
+def levels(rules: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rules that refer to earlier ranges alone."""
+    top, lo = rules.max(axis=1) if len(rules) else np.zeros(0, np.uint32), 0
+    while lo < len(rules):
+        late = np.flatnonzero(top[lo:] >= base + lo)
+        hi = lo + int(late[0]) if len(late) else len(rules)
+        if hi == lo:
+            raise ValueError("a rule refers to itself or a later one")
+        yield lo, hi
+        lo = hi
+
+
 def pack(ids: list[np.ndarray], doc_ids: list[int], start: int, vocab: int) -> bytes:
     """A block of documents; `start`: ids before its first document in the partition."""
     n = np.array([len(x) for x in ids], np.uint32)
@@ -129,8 +141,8 @@ def pack(ids: list[np.ndarray], doc_ids: list[int], start: int, vocab: int) -> b
     doc_of = np.repeat(np.arange(len(n)), n)
     seq, doc_of, rules = compress(seq, doc_of, vocab)
     length = np.ones(vocab + len(rules), np.uint32)
-    for k, (a, b) in enumerate(rules):
-        length[vocab + k] = length[a] + length[b]
+    for lo, hi in levels(rules, vocab):
+        length[vocab + lo : vocab + hi] = length[rules[lo:hi, 0]] + length[rules[lo:hi, 1]]
     first = np.searchsorted(doc_of, np.arange(len(n))).astype(np.uint32)
     starts = (start + np.concatenate(([0], np.cumsum(n[:-1], dtype=np.uint64)))).astype(np.uint64) if len(n) else np.zeros(0, np.uint64)
     head = b"RPG1" + struct.pack("<4I", vocab, len(rules), len(seq), len(n))
@@ -162,17 +174,9 @@ class Block:
         if self._flat is None:
             begin = np.concatenate(([0], np.cumsum(self.length, dtype=np.int64)))
             flat = np.zeros(begin[-1], np.uint32)
-            for k, (a, b) in enumerate(self.rules.tolist()):
-                at = begin[k]
-                for x in (a, b):
-                    if x < self.base:
-                        flat[at] = x
-                        at += 1
-                    else:
-                        m = begin[x - self.base + 1] - begin[x - self.base]
-                        flat[at : at + m] = flat[begin[x - self.base] : begin[x - self.base] + m]
-                        at += m
             self._flat = flat, begin[:-1]
+            for lo, hi in levels(self.rules, self.base):
+                flat[begin[lo] : begin[hi]] = self.expand(self.rules[lo:hi].ravel())
         return self._flat
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
