@@ -265,9 +265,29 @@ class PieceEncoder:
     def _clear(self) -> None:
         self.index = _Index()
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.begin, self.length, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
         self.resolved = 0
 
+    def _shrink(self) -> None:
+        """Forget the keys that were met least often, half of them at least."""
+        keys, hits = list(self.index), self.hits[: len(self.index)]
+        least = 2
+        while (hits >= least).sum() > self.limit // 2:
+            least *= 2
+        kept = np.flatnonzero(hits >= least)
+        n, (flat, _) = self.length[kept], self._gather(kept)
+        met = hits[kept]
+        self._clear()
+        self.index.update({keys[i]: k for k, i in enumerate(kept.tolist())})
+        self.resolved = len(kept)
+        self._room()
+        self.hits[: len(kept)] = met
+        self._store(np.arange(len(kept)), flat, n)
+
+    def _room(self) -> None:
+        while len(self.index) > len(self.begin):
+            self.begin, self.length, self.hits = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.length, self.hits))
+
     def _store(self, numbers: np.ndarray, flat: np.ndarray, n: np.ndarray) -> None:
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
@@ -310,8 +330,7 @@ class PieceEncoder:
                         parts += [index[self._key(x)] for x in split]
                         stop.append(len(parts))
             self.resolved += len(fresh)
-        while len(index) > len(self.begin):
-            self.begin, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.length))
+        self._room()
         if single:
             self._store(np.array(single), *self.learn(text))
         if joined:
@@ -321,7 +340,7 @@ class PieceEncoder:
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > self.limit:
-            self._clear()
+            self._shrink()
         out: list = [None] * len(texts)
         codes, which = [], []
         number = self.index.__getitem__
@@ -339,6 +358,7 @@ class PieceEncoder:
         if codes:
             self._resolve()
             code = np.concatenate(codes)
+            self.hits[: len(self.index)] += np.bincount(code, minlength=len(self.index))
             ids, end = self._gather(code)
             stop = np.cumsum([len(c) for c in codes])
             at = 0

@@ -4,7 +4,7 @@ A block holds the ids of consecutive documents. Frequent adjacent id pairs are r
 stores the rules, the expansion length of each nonterminal and a directory of its documents, so that one document is decoded without the rest.
 
 Layout of a block, little-endian: magic `RPG1`, u32 base (ids at or above it are nonterminals), u32 rules, u32 symbols, u32 documents;
-rules as u32 pairs; expansion lengths as u32; directory: i64 doc_id, u64 start (ids before it in its partition), u32 first symbol, u32 ids,
+rules as u32 pairs; expansion lengths as u32; directory: i64 doc_id, u64 start (ids before it in its part), u32 first symbol, u32 ids,
 each as a column; then the symbols as u32 (zlib is left to the file format around it). No rule spans two documents, so each document is a run of whole symbols.
 
 Odd input: a null text is an empty one; an empty text has the end id alone; a null doc_id sorts first and is kept as null;
@@ -52,20 +52,20 @@ def encoder(path: str) -> bpe.PieceEncoder:
     return _encoders[path]
 
 
-def compress(seq: np.ndarray, doc_of: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, the document of each, and the rules (pairs of symbols). `doc_of` is non-decreasing; pairs within a document alone are replaced.
+def compress(seq: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, where each document ends among them, and the rules (pairs of symbols). Pairs within a document alone are replaced.
 
     Pairs are counted in a hash table whose slots each stand for one pair; of pairs that share a slot one is seen in a round, which costs
     a little space and never correctness."""
     seq, rules, count = seq.astype(np.uint32), [], 0
     slots = 1 << _SLOT_BITS
-    breaks = np.flatnonzero(doc_of[1:] != doc_of[:-1])  # places of the last symbol of each document but the last
     for _ in range(ROUNDS):
         if len(seq) < 2 * LEAST:
             break
         a, b = seq[:-1], seq[1:]
         slot = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _SLOT_BITS)).astype(np.int64)
-        slot[breaks] = slots
+        last = ends - 1
+        slot[last[(last >= 0) & (last < len(slot))]] = slots
         holder = np.zeros(slots + 1, np.int64)
         holder[slot] = np.arange(len(slot))
         holder[slots] = 0
@@ -111,13 +111,10 @@ def compress(seq: np.ndarray, doc_of: np.ndarray, base: int) -> tuple[np.ndarray
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq = seq[keep]
-        breaks = breaks - np.searchsorted(where + 1, breaks, side="right")
+        ends = ends - np.searchsorted(where + 1, ends)
         if len(where) < 0.02 * len(seq):
             break
-    first = np.concatenate(([0], breaks + 1))
-    docs = np.unique(doc_of)
-    new_doc_of = np.repeat(docs, np.diff(np.append(first, len(seq)))) if len(seq) else doc_of[:0]
-    return seq, new_doc_of, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    return seq, ends, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
 def levels(rules: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
@@ -138,12 +135,11 @@ def pack(ids: list[np.ndarray], doc_ids: list[int], start: int, vocab: int) -> b
     seq = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
     if len(seq) and int(seq.max()) >= vocab:
         raise ValueError("an id lies outside the vocabulary")
-    doc_of = np.repeat(np.arange(len(n)), n)
-    seq, doc_of, rules = compress(seq, doc_of, vocab)
+    seq, ends, rules = compress(seq, np.cumsum(n, dtype=np.int64), vocab)
     length = np.ones(vocab + len(rules), np.uint32)
     for lo, hi in levels(rules, vocab):
         length[vocab + lo : vocab + hi] = length[rules[lo:hi, 0]] + length[rules[lo:hi, 1]]
-    first = np.searchsorted(doc_of, np.arange(len(n))).astype(np.uint32)
+    first = np.append(0, ends[:-1]).astype(np.uint32)[: len(n)]
     starts = (start + np.concatenate(([0], np.cumsum(n[:-1], dtype=np.uint64)))).astype(np.uint64) if len(n) else np.zeros(0, np.uint64)
     head = b"RPG1" + struct.pack("<4I", vocab, len(rules), len(seq), len(n))
     return b"".join([head, rules.tobytes(), length[vocab:].tobytes(), np.array(doc_ids, np.int64).tobytes(), starts.tobytes(), first.tobytes(), n.tobytes(), seq.tobytes()])
@@ -206,39 +202,59 @@ class Block:
 
 
 def write_blocks(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, partitions: int | None = None) -> DataFrame:
-    """Blocks of all documents in ascending doc_id, as a table in the shared folder: part (partition, ascending), seq, ids, block.
+    """Blocks of all documents in ascending doc_id, as a table in the shared folder: part (range of doc_id, ascending), seq, ids, block.
 
     One range exchange of the texts by doc_id; each partition is sorted, encoded and packed block by block, so memory follows BLOCK_IDS."""
     spark = docs.sparkSession
     path = tokenizer or bpe.default_path()
     text = id_and_text(docs)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = text.withColumn("part", _part(text.select("doc_id"), n))
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part, enc, vocab = TaskContext.get().partitionId(), encoder(path), bpe.vocabulary(path).size
+        enc, vocab = encoder(path), bpe.vocabulary(path).size
         ids: list = []
         keys: list = []
+        part = -1
         start = size = seq = 0
+
+        def block() -> pd.DataFrame:
+            return pd.DataFrame({"part": [part], "seq": [seq], "ids": [size], "block": [pack(ids, keys, start, vocab)]})
+
         for pdf in batches:
-            texts = pdf["text"].tolist()
-            keyed = [_NULL_ID if pd.isna(x) else int(x) for x in pdf["doc_id"]]
-            for at in range(0, len(texts), 256):
-                for key, got in zip(keyed[at : at + 256], enc.batch(texts[at : at + 256])):
-                    ids.append(np.append(got, np.uint32(end_id)))
-                    keys.append(key)
-                    size += len(ids[-1])
-                    if size >= BLOCK_IDS:
-                        yield pd.DataFrame({"part": [part], "seq": [seq], "ids": [size], "block": [pack(ids, keys, start, vocab)]})
-                        start, seq, size, ids, keys = start + size, seq + 1, 0, [], []
+            for here, of_part in pdf.groupby("part", sort=True):
+                if here != part:
+                    if ids:
+                        yield block()
+                    part, start, seq, size, ids, keys = int(here), 0, 0, 0, [], []
+                texts = of_part["text"].tolist()
+                keyed = [_NULL_ID if pd.isna(x) else int(x) for x in of_part["doc_id"]]
+                for at in range(0, len(texts), 256):
+                    for key, got in zip(keyed[at : at + 256], enc.batch(texts[at : at + 256])):
+                        ids.append(np.append(got, np.uint32(end_id)))
+                        keys.append(key)
+                        size += len(ids[-1])
+                        if size >= BLOCK_IDS:
+                            yield block()
+                            start, seq, size, ids, keys = start + size, seq + 1, 0, [], []
         if ids:
-            yield pd.DataFrame({"part": [part], "seq": [seq], "ids": [size], "block": [pack(ids, keys, start, vocab)]})
+            yield block()
 
-    ordered = text.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = dealt.repartitionById(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
     return stored(ordered.mapInPandas(blocks, "part int, seq int, ids long, block binary"), "repair")
 
 
+def _part(keys: DataFrame, n: int):
+    """Column: which of n ranges of doc_id a row falls in. The bounds come from the ids alone (a range exchange would sample whole rows),
+    as a summary of fixed size; a binary search in them finds the range. Rows without doc_id come first."""
+    bounds = sorted({int(b) for b in keys.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n)}) if n > 1 else []
+    if not bounds:
+        return F.lit(0)
+    steps, listed = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)], F.array(*map(F.lit, bounds))
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(F.get(listed, at + s - 1) < F.col("doc_id"), at + s).otherwise(at))
+    return F.coalesce(found, F.lit(0))
+
+
 def read_documents(blocks: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from stored blocks. One number a partition (their totals) comes to the driver."""
     total = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("ids").alias("n")).collect()}
@@ -250,8 +266,10 @@ def read_documents(blocks: DataFrame) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part, data in zip(pdf["part"].tolist(), pdf["block"]):
-                rows = [(None if k == _NULL_ID else k, before[part] + s, len(x), zlib.crc32(x.tobytes())) for k, s, x in Block(bytes(data)).documents()]
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                b = Block(bytes(data))
+                crc = np.fromiter((zlib.crc32(x) for _, _, x in b.documents()), np.int64, len(b.n))
+                key = pd.arrays.IntegerArray(b.doc_ids.astype(np.int64), b.doc_ids == _NULL_ID)
+                yield pd.DataFrame({"doc_id": key, "start": b.start.astype(np.int64) + before[part], "n_tokens": b.n.astype(np.int64), "ids_crc32": crc})
 
     return blocks.select("part", "block").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

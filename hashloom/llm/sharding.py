@@ -68,9 +68,11 @@ def assign(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id", text:
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
-    """Write the documents with a column `shard`, one folder a shard. Rows are dealt by shard, each of bounded size."""
-    shards = assign(docs, limit).select("doc_id", "shard").distinct()
-    docs.join(shards, "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write the documents with a column `shard` (one that they have already is replaced), one folder a shard; rows without doc_id go where
+    an empty key goes. Rows are dealt by shard, each of bounded size."""
+    shards = assign(docs, limit).select(F.col("doc_id").alias("_key"), "shard").distinct()
+    dealt = docs.drop("shard").join(shards, F.col("doc_id").eqNullSafe(F.col("_key"))).drop("_key")
+    dealt.withColumn("shard", F.concat(F.lit("p"), "shard")).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def oracle(limit: int = LIMIT_BYTES) -> str:
