@@ -117,8 +117,8 @@ def _tally(sample: DataFrame) -> DataFrame:
     return sample.select("text", "toxic").mapInPandas(count, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def label_model(votes: np.ndarray, fire: np.ndarray, quiet: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray:
-    """Posterior of toxic for each row of 0/1 votes. fire, quiet: first estimates of how often a voter fires on toxic and on clean rows;
+def label_model(votes: np.ndarray, fire: np.ndarray, quiet: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors of toxic for each row of 0/1 votes, and for each voter firing alone. fire, quiet: first estimates of how often a voter fires on toxic and on clean rows;
     they go on counting as much as the rows themselves, so the model can't drift to another way of splitting the rows (a language, say)."""
     v = votes.astype(np.float64)
     fire0, quiet0, prior0, n = fire, quiet, prior, len(votes)
@@ -141,10 +141,26 @@ def label_model(votes: np.ndarray, fire: np.ndarray, quiet: np.ndarray, prior: f
         quiet = np.clip(((1 - q) @ v + quiet0 * n * (1 - prior0)) / (n - s + n * (1 - prior0)), 1e-6, 1 - 1e-5)
         quiet = np.minimum(quiet, fire * 0.5)  # a voter is for toxic, by its role
         prior = (s + n * prior0) / (2 * n)
-    return q
-
-
-def linear(x: np.ndarray, q: np.ndarray, decay: float = 1e-6, rounds: int = 900) -> tuple[np.ndarray, float]:
+    return q, 1 / (1 + np.exp(-np.clip(math.log(prior / (1 - prior)) + np.maximum(np.log(fire / quiet), 0), -40, 40)))
+
+
+def by_themselves(votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which voters (columns, most precise first) are to be kept: those that never fire on a clean row, and those that lean toward toxic rows
+    among the rows that no kept voter before them fires on. A beginning shared with harmless words falls away once its word votes."""
+    covered = np.zeros(len(votes), bool)
+    keep = np.zeros(votes.shape[1], bool)
+    share = max(toxic.mean(), 1e-9)
+    for k in range(votes.shape[1]):
+        fires = votes[:, k] > 0
+        new = fires & ~covered
+        hit, miss = int((new & (toxic == 1)).sum()), int((new & (toxic == 0)).sum())
+        keep[k] = not (fires & (toxic == 0)).any() or (hit >= 2 and hit / share >= LIFT * (hit + miss))
+        if keep[k]:
+            covered |= fires
+    return keep
+
+
+def linear(x: np.ndarray, q: np.ndarray, decay: float = 1e-5, rounds: int = 600) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels, full batches with adaptive steps; both classes weigh alike."""
     share = min(max(float(q.mean()), 1e-3), 1 - 1e-3)
     each = (np.where(q > 0.5, 0.5 / share, 0.5 / (1 - share)) / len(q)).astype(np.float32)
@@ -197,7 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     lean = list({r["feature"]: r for r in lean}.values())
     column = {r["feature"]: k for k, r in enumerate(lean)}
     lift = [((r["toxic"] + 0.5) / (n1 + 1)) / ((r["clean"] + 0.5) / (n0 + 1)) for r in lean]
-    voters = [k for k, r in enumerate(lean) if r["toxic"] >= SUPPORT and lift[k] >= LIFT and r["z"] >= BEYOND][:VOTERS]
+    voters = [k for k, r in enumerate(lean) if r["toxic"] >= SUPPORT and lift[k] >= LIFT and r["z"] >= BEYOND]
+    voters.sort(key=lambda k: (-lift[k], k))
     if not voters:
         return Model()
 
@@ -211,11 +228,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     for i, r in enumerate(got):
         x[i, r["columns"]] = 1
     y = np.array([r["toxic"] for r in got])
+    voters = [k for k, good in zip(voters, by_themselves(x[:, voters], y)) if good][:VOTERS]
+    if not voters:
+        return Model()
     fire = np.array([(lean[k]["toxic"] + 0.5) / (n1 + 1) for k in voters])
     quiet = np.array([(lean[k]["clean"] + 0.05) / (n0 + 1) for k in voters])
-    q = label_model(x[:, voters], fire, np.minimum(quiet, 0.5 * fire), share)
-    w, b = linear(x, q)
-    a, c = calibrated(x @ w + b, y)
+    q, alone = label_model(x[:, voters], fire, np.minimum(quiet, 0.5 * fire), share)
+    # a row for each voter by itself (with the features that never miss where it fires: a word's beginnings), so that the classifier
+    # learns what one vote is worth where documents hold several
+    fires = x[:, voters]
+    single = ((fires.T @ x) >= fires.sum(axis=0)[:, None] - 0.5).astype(np.float32)
+    w, b = linear(np.vstack((x, single)), np.concatenate((q, alone)))
+    a, c = calibrated(np.vstack((x, single)) @ w + b, np.concatenate((y, alone > 0.5)))
     return Model({r["feature"]: float(a * w[k]) for k, r in enumerate(lean) if abs(w[k]) > 1e-6}, float(a * b + c), len(voters))
 
 
