@@ -235,8 +235,10 @@ def pieces(text: str, path: str) -> list[str]:
     return [bytes(_LETTERS[c] for c in s).decode("utf-8", "surrogateescape") for s, _ in split]
 
 
-#: Marks that end a word and are a piece of their own after letters.
+#: Marks that end a word and are a piece of their own after letters; keys of marks cut off a word; what keys end in letters or digits.
 _MARKS = frozenset(".,!?;:)")
+_CUT = frozenset(("\0,", "\0.", "\0.\n"))
+_MARK, _WORDLY = 1, 2
 
 
 class _Index(dict):
@@ -254,8 +256,9 @@ class _Index(dict):
 class PieceEncoder:
     """Ids of whole texts, where `learn` (ids of many pieces, and how many each has) sees a piece once while it stays in a bounded memo.
 
-    Texts are cut at single spaces between words, where a piece always begins, so a word with its punctuation is looked up once.
-    Key "x" stands for " x", key "\\0x" for "x". Texts with odd characters or special tokens go to `whole`."""
+    Texts are cut at single spaces between words, where a piece always begins, and before a comma or point that ends a word (where that
+    holds is checked; other texts are split by the pattern). Key "x" stands for " x", key "\\0x" for "x". Texts with odd characters or
+    special tokens go to `whole`."""
 
     def __init__(self, path: str, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], list[int]], limit: int = 400_000) -> None:
         self.path, self.learn, self.whole, self.limit = path, learn, whole, limit
@@ -266,6 +269,7 @@ class PieceEncoder:
         self.index = _Index()
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
         self.begin, self.length, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.kind = np.zeros(1 << 16, np.uint8)
         self.resolved = 0
 
     def _shrink(self) -> None:
@@ -276,17 +280,17 @@ class PieceEncoder:
             least *= 2
         kept = np.flatnonzero(hits >= least)
         n, (flat, _) = self.length[kept], self._gather(kept)
-        met = hits[kept]
+        met, kind = hits[kept], self.kind[kept]
         self._clear()
         self.index.update({keys[i]: k for k, i in enumerate(kept.tolist())})
         self.resolved = len(kept)
         self._room()
-        self.hits[: len(kept)] = met
+        self.hits[: len(kept)], self.kind[: len(kept)] = met, kind
         self._store(np.arange(len(kept)), flat, n)
 
     def _room(self) -> None:
         while len(self.index) > len(self.begin):
-            self.begin, self.length, self.hits = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.length, self.hits))
+            self.begin, self.length, self.hits, self.kind = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.length, self.hits, self.kind))
 
     def _store(self, numbers: np.ndarray, flat: np.ndarray, n: np.ndarray) -> None:
         while self.used + len(flat) > len(self.flat):
@@ -309,13 +313,17 @@ class PieceEncoder:
         """Find the ids of all keys noted as new: single pieces from `learn`, the others from their pieces."""
         index, text, single = self.index, [], []
         joined, parts, stop = [], [], []
+        wordly: list[int] = []
         while index.new:
             fresh, index.new = index.new, []
-            for number, key in enumerate(fresh, self.resolved):
-                if key.isalpha():
-                    single.append(number)
-                    text.append(" " + key)
-                elif key[-1:] in _MARKS and key[:-1].isalpha():
+            alpha = list(map(str.isalpha, fresh))
+            text += [" " + key for key, a in zip(fresh, alpha) if a]
+            single += (letters := [number for number, a in enumerate(alpha, self.resolved) if a])
+            wordly += letters
+            for number, key in [(n, k) for n, (k, a) in enumerate(zip(fresh, alpha), self.resolved) if not a]:
+                if key[-1:].isalnum():
+                    wordly.append(number)
+                if key[-1:] in _MARKS and key[:-1].isalpha():
                     joined.append(number)
                     parts += (index[key[:-1]], index["\0" + key[-1]])
                     stop.append(len(parts))
@@ -331,7 +339,10 @@ class PieceEncoder:
                         stop.append(len(parts))
             self.resolved += len(fresh)
         self._room()
-        if single:
+        self.kind[wordly] = _WORDLY
+        for key in _CUT & index.keys():
+            self.kind[index[key]] = _MARK
+        if text:
             self._store(np.array(single), *self.learn(text))
         if joined:
             flat, end = self._gather(np.array(parts, np.int64))
@@ -348,16 +359,24 @@ class PieceEncoder:
             if ODD.search(t) or any(s in t for s in self.special):
                 out[i] = np.array(self.whole(t), np.uint32)
                 continue
-            if "  " in t or " \n" in t or "\n " in t or "\t" in t or "\r" in t or t[-1:] == " ":
+            if "  " in t or " \n" in t or "\n " in t or ".\n\n" in t or "\t" in t or "\r" in t or t[-1:] == " ":
                 keys = [self._key(x) for x in SPLIT.findall(t)]
             else:
-                keys = t.split(" ")
+                keys = t.replace(", ", " \0, ").replace(". ", " \0. ").replace(".\n", " \0.\n \0").split(" ")
                 keys[0] = "\0" + keys[0]
             codes.append(np.fromiter(map(number, keys), np.int64, len(keys)))
             which.append(i)
         if codes:
             self._resolve()
             code = np.concatenate(codes)
+            kind = self.kind[code]
+            wrong = np.flatnonzero((kind[1:] == _MARK) & (kind[:-1] != _WORDLY)) + 1  # a mark that would belong to a longer piece
+            if len(wrong):
+                for k in np.unique(np.searchsorted(np.cumsum([len(c) for c in codes]), wrong, side="right")):
+                    keys = [self._key(x) for x in SPLIT.findall(texts[which[k]])]
+                    codes[k] = np.fromiter(map(number, keys), np.int64, len(keys))
+                self._resolve()
+                code = np.concatenate(codes)
             self.hits[: len(self.index)] += np.bincount(code, minlength=len(self.index))
             ids, end = self._gather(code)
             stop = np.cumsum([len(c) for c in codes])

@@ -16,6 +16,8 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -40,13 +42,18 @@ def encoder(path: str) -> bpe.PieceEncoder:
     if path not in _encoders:
         lib = bpe.library(path)
         letter = {b: c for c, b in bpe.byte_letters().items()}
-        piece = lib.model.tokenize
+        piece, token_id = lib.model.tokenize, attrgetter("id")
 
         def learn(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             # a piece is what the library's splitter hands to its model: bytes written as letters
-            got = [[t.id for t in piece(w.replace(" ", letter[32]) if w.isascii() and w.isprintable() else "".join(map(letter.__getitem__, w.encode())))] for w in words]
+            plain = "\0".join(words)
+            if plain.isascii() and plain.replace("\0", "").isprintable():
+                written = plain.replace(" ", letter[32]).split("\0")
+            else:
+                written = [w.replace(" ", letter[32]) if w.isascii() and w.isprintable() else "".join(map(letter.__getitem__, w.encode())) for w in words]
+            got = list(map(piece, written))
             n = np.fromiter(map(len, got), np.int64, len(got))
-            return np.fromiter((i for ids in got for i in ids), np.uint32, int(n.sum())), n
+            return np.fromiter(map(token_id, chain.from_iterable(got)), np.uint32, int(n.sum())), n
 
         _encoders[path] = bpe.PieceEncoder(path, learn, lambda t: lib.encode_batch_fast([t], add_special_tokens=False)[0].ids, limit=1_000_000)
     return _encoders[path]
