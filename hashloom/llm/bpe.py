@@ -244,15 +244,62 @@ _MARK, _WORDLY = 1, 2
 class _Index(dict):
     """Key -> number; an unseen key gets the next number and is noted as new."""
 
-    def __init__(self) -> None:
-        self.new: list[str] = []
+    def __init__(self, taken: list[int], new: list) -> None:
+        self.taken, self.new = taken, new
 
     def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        self.new.append(key)
+        self[key] = n = self.taken[0]
+        self.taken[0] += 1
+        self.new.append((n, key))
         return n
 
 
+_SHORT = 15
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k bytes
+
+
+class _Words:
+    """Number of each short word: an open-addressing table over whole words (up to 15 bytes and their length in two integers), so that
+    many words are looked up side by side and never mistaken."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits = bits
+        self.a, self.b = (np.zeros(1 << bits, np.uint64) for _ in range(2))
+        self.number = np.full(1 << bits, -1, np.int32)
+
+    def _slot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h = (a ^ (b * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Numbers, -1 for unknown words."""
+        slot = self._slot(a, b)
+        out = self.number[slot]
+        todo = np.flatnonzero((out >= 0) & ((self.a[slot] != a) | (self.b[slot] != b)))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.a) - 1)
+            at = slot[todo]
+            out[todo] = self.number[at]
+            todo = todo[(out[todo] >= 0) & ((self.a[at] != a[todo]) | (self.b[at] != b[todo]))]
+        return out
+
+    def add(self, a: np.ndarray, b: np.ndarray, number: np.ndarray) -> None:
+        """Put in words that are unknown and differ from one another."""
+        slot = self._slot(a, b)
+        todo = np.arange(len(a))
+        while len(todo):
+            at = slot[todo]
+            _, first = np.unique(at, return_index=True)
+            put = first[self.number[at[first]] < 0]
+            at, k = at[put], todo[put]
+            self.a[at], self.b[at], self.number[at] = a[k], b[k], number[k]
+            left = np.ones(len(todo), bool)
+            left[put] = False
+            todo = todo[left]
+            slot[todo] = (slot[todo] + (self.number[slot[todo]] >= 0)) & (len(self.a) - 1)
+
+
 class PieceEncoder:
     """Ids of whole texts, where `learn` (ids of many pieces, and how many each has) sees a piece once while it stays in a bounded memo.
 
@@ -266,31 +313,16 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index = _Index()
+        self.taken, self.new = [0], []
+        self.index = _Index(self.taken, self.new)
+        self.words = _Words(max(12, (2 * self.limit).bit_length()))
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.begin, self.length, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.begin, self.length = (np.zeros(1 << 16, np.int64) for _ in range(2))
         self.kind = np.zeros(1 << 16, np.uint8)
-        self.resolved = 0
-
-    def _shrink(self) -> None:
-        """Forget the keys that were met least often, half of them at least."""
-        keys, hits = list(self.index), self.hits[: len(self.index)]
-        least = 2
-        while (hits >= least).sum() > self.limit // 2:
-            least *= 2
-        kept = np.flatnonzero(hits >= least)
-        n, (flat, _) = self.length[kept], self._gather(kept)
-        met, kind = hits[kept], self.kind[kept]
-        self._clear()
-        self.index.update({keys[i]: k for k, i in enumerate(kept.tolist())})
-        self.resolved = len(kept)
-        self._room()
-        self.hits[: len(kept)], self.kind[: len(kept)] = met, kind
-        self._store(np.arange(len(kept)), flat, n)
 
     def _room(self) -> None:
-        while len(self.index) > len(self.begin):
-            self.begin, self.length, self.hits, self.kind = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.length, self.hits, self.kind))
+        while self.taken[0] > len(self.begin):
+            self.begin, self.length, self.kind = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.length, self.kind))
 
     def _store(self, numbers: np.ndarray, flat: np.ndarray, n: np.ndarray) -> None:
         while self.used + len(flat) > len(self.flat):
@@ -314,15 +346,19 @@ class PieceEncoder:
         index, text, single = self.index, [], []
         joined, parts, stop = [], [], []
         wordly: list[int] = []
-        while index.new:
-            fresh, index.new = index.new, []
-            alpha = list(map(str.isalpha, fresh))
-            text += [" " + key for key, a in zip(fresh, alpha) if a]
-            single += (letters := [number for number, a in enumerate(alpha, self.resolved) if a])
+        marks: list[int] = []
+        while self.new:
+            fresh = self.new[:]
+            self.new.clear()
+            alpha = [key.isalpha() for _, key in fresh]
+            text += [" " + key for (_, key), a in zip(fresh, alpha) if a]
+            single += (letters := [number for (number, _), a in zip(fresh, alpha) if a])
             wordly += letters
-            for number, key in [(n, k) for n, (k, a) in enumerate(zip(fresh, alpha), self.resolved) if not a]:
+            for number, key in [f for f, a in zip(fresh, alpha) if not a]:
                 if key[-1:].isalnum():
                     wordly.append(number)
+                elif key in _CUT:
+                    marks.append(number)
                 if key[-1:] in _MARKS and key[:-1].isalpha():
                     joined.append(number)
                     parts += (index[key[:-1]], index["\0" + key[-1]])
@@ -337,11 +373,9 @@ class PieceEncoder:
                         joined.append(number)
                         parts += [index[self._key(x)] for x in split]
                         stop.append(len(parts))
-            self.resolved += len(fresh)
         self._room()
         self.kind[wordly] = _WORDLY
-        for key in _CUT & index.keys():
-            self.kind[index[key]] = _MARK
+        self.kind[marks] = _MARK
         if text:
             self._store(np.array(single), *self.learn(text))
         if joined:
@@ -349,40 +383,68 @@ class PieceEncoder:
             at = np.concatenate(([0], end))[np.array(stop)]
             self._store(np.array(joined), flat, np.diff(at, prepend=0))
 
+    def _numbered(self, chunked: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the keys between single spaces of all texts, and how many each text has. Unknown keys are noted as new."""
+        raw = " ".join(chunked).encode()
+        data = np.frombuffer(raw + bytes(16), np.uint8)
+        stop = np.append(np.flatnonzero(data[: len(raw)] == 32), len(raw))
+        start = np.append(0, stop[:-1] + 1)
+        size = stop - start
+        code = np.empty(len(start), np.int64)
+        short = np.flatnonzero(size <= _SHORT)
+        at, n = start[short], size[short]
+        eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))  # the eight bytes from each place on
+        a = eight[at] & _LOW[np.minimum(n, 8)]
+        b = (eight[at + 8] & _LOW[np.clip(n - 8, 0, 7)]) | (n.astype(np.uint64) << np.uint64(56))
+        got = self.words.find(a, b).astype(np.int64)
+        lost = np.flatnonzero(got < 0)
+        if len(lost):
+            order = lost[np.lexsort((a[lost], b[lost]))]
+            first = np.append(True, (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]]))
+            one = order[first]
+            numbers = self.taken[0] + np.arange(len(one))
+            self.taken[0] += len(one)
+            self.words.add(a[one], b[one], numbers.astype(np.int32))
+            got[order] = numbers[np.cumsum(first) - 1]
+            self.new += [(k, raw[s:e].decode()) for k, s, e in zip(numbers.tolist(), at[one].tolist(), (at[one] + n[one]).tolist())]
+        code[short] = got
+        long = np.flatnonzero(size > _SHORT)
+        if len(long):
+            keys = [raw[s:e].decode() for s, e in zip(start[long].tolist(), stop[long].tolist())]
+            code[long] = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        return code, np.array([t.count(" ") + 1 for t in chunked], np.int64)
+
+    def _by_pattern(self, text: str) -> np.ndarray:
+        keys = [self._key(x) for x in SPLIT.findall(text)]
+        return np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > self.limit:
-            self._shrink()
+        if self.taken[0] > self.limit:
+            self._clear()
         out: list = [None] * len(texts)
-        codes, which = [], []
-        number = self.index.__getitem__
+        chunked, which, codes = [], [], {}
         for i, t in enumerate(texts):
             if ODD.search(t) or any(s in t for s in self.special):
                 out[i] = np.array(self.whole(t), np.uint32)
-                continue
-            if "  " in t or " \n" in t or "\n " in t or ".\n\n" in t or "\t" in t or "\r" in t or t[-1:] == " ":
-                keys = [self._key(x) for x in SPLIT.findall(t)]
+            elif "  " in t or " \n" in t or "\n " in t or ".\n\n" in t or "\t" in t or "\r" in t or t[-1:] == " ":
+                codes[i] = self._by_pattern(t)
             else:
-                keys = t.replace(", ", " \0, ").replace(". ", " \0. ").replace(".\n", " \0.\n \0").split(" ")
-                keys[0] = "\0" + keys[0]
-            codes.append(np.fromiter(map(number, keys), np.int64, len(keys)))
-            which.append(i)
-        if codes:
-            self._resolve()
-            code = np.concatenate(codes)
-            kind = self.kind[code]
+                chunked.append("\0" + t.replace(", ", " \0, ").replace(". ", " \0. ").replace(".\n", " \0.\n \0"))
+                which.append(i)
+        code, n = self._numbered(chunked) if chunked else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self._resolve()
+        if chunked:
+            stop, kind = np.cumsum(n), self.kind[code]
             wrong = np.flatnonzero((kind[1:] == _MARK) & (kind[:-1] != _WORDLY)) + 1  # a mark that would belong to a longer piece
-            if len(wrong):
-                for k in np.unique(np.searchsorted(np.cumsum([len(c) for c in codes]), wrong, side="right")):
-                    keys = [self._key(x) for x in SPLIT.findall(texts[which[k]])]
-                    codes[k] = np.fromiter(map(number, keys), np.int64, len(keys))
-                self._resolve()
-                code = np.concatenate(codes)
-            self.hits[: len(self.index)] += np.bincount(code, minlength=len(self.index))
+            for k in np.unique(np.searchsorted(stop, wrong, side="right")).tolist():
+                codes[which[k]] = self._by_pattern(texts[which[k]])
+            self._resolve()
             ids, end = self._gather(code)
-            stop = np.cumsum([len(c) for c in codes])
             at = 0
-            for i, s in zip(which, stop):
-                last = int(end[s - 1]) if s else 0
+            for i, s in zip(which, stop.tolist()):
+                last = int(end[s - 1])
                 out[i] = ids[at:last]
                 at = last
+        for i, c in codes.items():
+            out[i] = self._gather(c)[0]
         return out

@@ -227,7 +227,7 @@ def _coder(name: str, path: str) -> bpe.PieceEncoder:
             out += [part] if isinstance(part, int) else learn(bpe.pieces(part, path))[0].tolist()
         return out
 
-    return bpe.PieceEncoder(path, learn, whole, limit=400_000)
+    return bpe.PieceEncoder(path, learn, whole, limit=1_000_000)
 
 
 _published: set[tuple[str, str]] = set()

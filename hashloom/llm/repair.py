@@ -55,7 +55,7 @@ def encoder(path: str) -> bpe.PieceEncoder:
             n = np.fromiter(map(len, got), np.int64, len(got))
             return np.fromiter(map(token_id, chain.from_iterable(got)), np.uint32, int(n.sum())), n
 
-        _encoders[path] = bpe.PieceEncoder(path, learn, lambda t: lib.encode_batch_fast([t], add_special_tokens=False)[0].ids, limit=1_000_000)
+        _encoders[path] = bpe.PieceEncoder(path, learn, lambda t: lib.encode_batch_fast([t], add_special_tokens=False)[0].ids, limit=2_000_000)
     return _encoders[path]
 
 
