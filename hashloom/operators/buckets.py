@@ -91,6 +91,15 @@ def size_stats(hist: DataFrame) -> DataFrame:
     return hist.agg(F.min("n").alias("min_n"), F.round(F.avg("n"), 9).alias("mean_n"), F.max("n").alias("max_n"), *(q_half_up(F.col("n"), v).alias(k) for k, v in q.items()))
 
 
+def size_percentiles_dense(hist: DataFrame, bits: int) -> DataFrame:
+    """p50, p90, p99 of all buckets' sizes, empty ones as 0 (element floor(q (n - 1))), by rank among the sizes that occur."""
+    nlist = 1 << bits
+    sizes = hist.groupBy("n").agg(F.count("*").alias("c"))
+    at = sizes.select("n", F.sum("c").over(W.orderBy("n")).alias("upto"), F.sum("c").over(W.partitionBy()).alias("all"))
+    each = {f"p{round(q * 100)}": int(q * (nlist - 1)) for q in (0.5, 0.9, 0.99)}
+    return at.agg(*(F.coalesce(F.min(F.when(F.col("upto") + F.lit(nlist) - F.col("all") > r, F.when(F.lit(nlist) - F.col("all") > r, F.lit(0).cast("bigint")).otherwise(F.col("n")))), F.lit(0)).alias(k) for k, r in each.items()))
+
+
 def tiers(hist: DataFrame, least_tiny: int = 10) -> DataFrame:
     """tier, buckets, vectors: TINY up to the median (least_tiny at least), BIG from the 99.95th percentile (above tiny + 1), NORMAL between."""
     cut = hist.agg(F.greatest(q_half_up(F.col("n"), 0.5), F.lit(least_tiny)).alias("tiny"), q_half_up(F.col("n"), 0.9995).alias("p9995"))

@@ -49,6 +49,11 @@ def sample(df: DataFrame, n: int, key: str = "vec_id", multiplier: int = 7919, m
     return df.orderBy((F.col(key) * multiplier) % modulus, key).limit(n)
 
 
+def sample_share(df: DataFrame, share: float, key: str = "vec_id") -> DataFrame:
+    """The share of the rows that `sample` would pick, one at least."""
+    return sample(df, max(1, int(df.count() * share)), key)
+
+
 def train_val(df: DataFrame, ratio: float, key: str = "vec_id") -> DataFrame:
     """The rows with part: train for the first share of dense ids, else val."""
     n = df.agg((F.max(key) + 1).alias("_n"))

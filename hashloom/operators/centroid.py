@@ -29,6 +29,40 @@ def batched(multi: DataFrame, cap: int = 4096) -> DataFrame:
     return multi.withColumn("batch", F.floor((F.row_number().over(w) - 1) / cap).cast("int"))
 
 
+def spans(probes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """qid, bin, start, stop: the ranges of global cluster numbers (by code, cid) that the probed buckets cover.
+
+    Numbers come from a running sum over one row a bucket."""
+    k = clusters.groupBy("code").agg(F.count("*").alias("k"))
+    at = k.select("code", (F.sum("k").over(W.orderBy("code")) - F.col("k")).alias("start"), F.sum("k").over(W.orderBy("code")).alias("stop"))
+    return probes.select("qid", "bin", "code").join(at, "code").select("qid", "bin", "start", "stop")
+
+
+def merged_spans(ranges: DataFrame) -> DataFrame:
+    """The ranges with adjacent and overlapping ones of a query's bin joined."""
+    w = W.partitionBy("qid", "bin").orderBy("start", "stop")
+    before = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
+    island = F.sum(F.when(before.isNull() | (F.col("start") > F.col("before")), 1).otherwise(0)).over(w)
+    return ranges.withColumn("before", before).withColumn("island", island).groupBy("qid", "bin", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
+
+
+def span_batches(lengths: list[int], cap: int) -> list[int]:
+    """Sizes of the batches of a bin, from the lengths of its spans in order: a span that doesn't fit the room left starts a batch, one
+    over the cap is cut."""
+    out: list[int] = []
+    room = 0
+    for n in lengths:
+        if n <= room:
+            out[-1] += n
+            room -= n
+            continue
+        while n > 0:
+            out.append(min(n, cap))
+            n -= out[-1]
+        room = cap - out[-1] if out else 0
+    return out
+
+
 def gated(multi: DataFrame, curve: DataFrame | None, cap: int = 4096) -> DataFrame:
     """Clusters whose distance is at most the best so far (their own batch included) plus the curve's margin there; without a curve all."""
     if curve is None:
@@ -92,8 +126,9 @@ def fold(rows: pd.DataFrame, k_c: int, cap: int, stop: EarlyStop, curve: list[tu
     for _, of_bin in rows.groupby("bin", sort=True):
         stats["bins"] += 1
         d, code, cid = of_bin["d2"].to_numpy(), of_bin["code"].to_numpy(), of_bin["cid"].to_numpy()
-        for at in range(0, len(d), cap):
-            part = d[at : at + cap]
+        sizes = span_batches(of_bin.groupby("code", sort=True).size().tolist(), cap)
+        for at, size in zip(np.cumsum(sizes) - sizes, sizes):
+            part = d[at : at + size]
             best = min(best, float(part.min()))
             limit = float("inf") if curve is None else best + max(0.0, float(np.interp(best, knots, ys)))
             updates = front = 0

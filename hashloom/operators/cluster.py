@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,11 +41,12 @@ def _nearest(points: DataFrame, centroids: DataFrame) -> DataFrame:
     return d.groupBy("vec_id", "code").agg(F.first("logits").alias("logits"), F.min(F.struct("d2", "cid")).alias("best")).select("vec_id", "code", "logits", F.col("best.cid").alias("cid"), F.col("best.d2").alias("d2"))
 
 
-def lloyd(coded: DataFrame, policy: Policy, rounds: int = 2, digits: int = 9) -> tuple[DataFrame, DataFrame]:
+def lloyd(coded: DataFrame, policy: Policy, rounds: int = 2, digits: int = 9, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Deterministic k-means of every bucket at once: (members: vec_id, code, logits, cid, d2; clusters: code, cid, centroid).
 
     Centroids start at rows evenly spaced in id order and are rounded each pass, so no order of summation shows; an empty cluster keeps
-    its centroid. Labels are those of the last centroids. A pass is an equi-join on the bucket and two aggregations."""
+    its centroid. Labels are those of the last centroids. A pass is an equi-join on the bucket and two aggregations; `cut` ends the
+    lineage of a pass's centroids and of the members (see storage.reliable)."""
     w = W.partitionBy("code")
     ranked = coded.select("vec_id", "code", "logits", (F.row_number().over(w.orderBy("vec_id")) - 1).alias("pos"), F.count("*").over(w).alias("n"))
     ranked = ranked.withColumn("k", policy.k(F.col("n")))
@@ -55,8 +56,8 @@ def lloyd(coded: DataFrame, policy: Policy, rounds: int = 2, digits: int = 9) ->
     centroids = starts.select("code", "cid", F.transform("logits", lambda x: F.round(x, digits)).alias("centroid"))
     for _ in range(rounds):
         moved = _centroids(_nearest(points, centroids), digits).withColumnRenamed("centroid", "moved")
-        centroids = centroids.join(moved, ["code", "cid"], "left").select("code", "cid", F.coalesce("moved", "centroid").alias("centroid"))
-    return _nearest(points, centroids), centroids
+        centroids = cut(centroids.join(moved, ["code", "cid"], "left").select("code", "cid", F.coalesce("moved", "centroid").alias("centroid")))
+    return cut(_nearest(points, centroids)), centroids
 
 
 def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -156,6 +157,16 @@ def cluster_classes(hist_k: DataFrame) -> DataFrame:
     return hist_k.groupBy(c.alias("class")).agg(F.count("*").alias("buckets"), F.sum("n").alias("vectors"), F.sum("k").alias("clusters"))
 
 
+def cluster_sizes(members: DataFrame) -> DataFrame:
+    """code, cid, n, offset: rows of each cluster, and where they begin in (code, cid) order."""
+    n = members.groupBy("code", "cid").agg(F.count("*").alias("n"))
+    # one row a cluster; buckets are summed first so that the running sum needs one row a bucket in order
+    of_bucket = n.groupBy("code").agg(F.sum("n").alias("_all"))
+    before = of_bucket.select("code", (F.sum("_all").over(W.orderBy("code")) - F.col("_all")).alias("_before"))
+    within = F.sum("n").over(W.partitionBy("code").orderBy("cid")) - F.col("n")
+    return n.join(before, "code").select("code", "cid", "n", (F.col("_before") + within).alias("offset"))
+
+
 def sub_posting_lists(members: DataFrame) -> DataFrame:
     """code, cid, pos, vec_id: rows of each cluster in id order."""
     return members.select("code", "cid", (F.row_number().over(W.partitionBy("code", "cid").orderBy("vec_id")) - 1).cast("bigint").alias("pos"), "vec_id")

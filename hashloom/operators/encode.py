@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.vectors import dot, doubles, l2_normalize, literal
 
 
+class Encoder(Protocol):
+    """What an encoder of the caller's own must do: give the frame a column `logits` (array<double>)."""
+
+    def __call__(self, df: DataFrame) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class Layer:
     weights: tuple[tuple[float, ...], ...]

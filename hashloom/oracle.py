@@ -284,6 +284,29 @@ ORACLES = {
     "selective_similarity_loss": f"""SELECT round(coalesce(sum(CASE WHEN keep THEN (b - s * a) * (b - s * a) END), 0e0) / greatest(sum(keep::INTEGER), 1), 6) AS loss, sum(keep::INTEGER)::BIGINT AS kept FROM
         (SELECT *, a < 1.3e0 OR b < 1.3e0 * s AS keep FROM (SELECT sqrt({sq('i.e', 'j.e')}) AS a, sqrt({sq('i.x', 'j.x')}) AS b, 0.6e0 * sqrt({BITS}e0 / {DIM}e0) AS s FROM enc i, enc j WHERE i.vec_id < 64 AND j.vec_id < 64 AND i.vec_id <> j.vec_id))""",
 }
+def _cell(c: str, lo: float, hi: float, bins: int) -> str:
+    return f"least(greatest(floor(({c} - {_num(lo)}) / {_num(hi - lo)} * {bins}), 0), {bins - 1})::BIGINT"
+
+
+def _dense(q: float) -> str:
+    return f"list(coalesce(n, 0) ORDER BY coalesce(n, 0))[{int(q * ((1 << BITS) - 1)) + 1}]::BIGINT"
+
+
+ORACLES |= {
+    "pairwise_l2_matrix": "SELECT qid, vec_id, round(dist, 6) AS d2 FROM scan",
+    "sample_share": "SELECT vec_id, label FROM (SELECT *, row_number() OVER (ORDER BY (vec_id * 7919) % 1000003, vec_id) AS r, count(*) OVER () AS n FROM v) WHERE r <= greatest(1, floor(n * 0.05e0))",
+    "cluster_sizes": "SELECT code, cid, n, (sum(n) OVER (ORDER BY code, cid) - n)::BIGINT AS \"offset\" FROM (SELECT code, cid, count(*) AS n FROM members GROUP BY ALL)",
+    "bucket_percentiles_dense": f"SELECT {_dense(0.5)} AS p50, {_dense(0.9)} AS p90, {_dense(0.99)} AS p99 FROM range({1 << BITS}) LEFT JOIN (SELECT code, count(*) AS n FROM coded WHERE vec_id % 3 = 0 GROUP BY code) h ON h.code = range",
+    "y_spaces": " UNION ALL ".join(f"SELECT qid, vec_id, '{k}' AS space, round({e}, 6) AS y FROM gt" for k, e in {"identity": "dist", "square": "dist * dist", "sqrt": "sqrt(greatest(dist, 0e0))", "log1p": "ln(1e0 + greatest(dist, 0e0))"}.items()),
+    "probed_spans": """SELECT qid, bin, min(a)::BIGINT AS start, max(b)::BIGINT AS stop FROM (SELECT *, sum(CASE WHEN pb IS NULL OR a > pb THEN 1 ELSE 0 END) OVER (PARTITION BY qid, bin ORDER BY a) AS g FROM
+        (SELECT qid, bin, a, b, max(b) OVER (PARTITION BY qid, bin ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM probes JOIN
+        (SELECT code, sum(k) OVER (ORDER BY code) - k AS a, sum(k) OVER (ORDER BY code) AS b FROM nk) USING (code))) GROUP BY qid, bin, g""",
+    "margin_scatter": "SELECT qid * 100000 + vec_id AS \"key\", round(x, 6) AS x, round(y, 6) AS y FROM mp ORDER BY ((qid * 100000 + vec_id) * 7919) % 1000003, 1 LIMIT 60",
+    "margin_summary": "SELECT " + ", ".join(f"round(min({c}), 6) AS {c}_min, round(quantile_cont({c}, 0.5), 6) AS {c}_p50, round(quantile_cont({c}, 0.99), 6) AS {c}_p99, round(max({c}), 6) AS {c}_max" for c in "xy") + " FROM mp",
+    "margin_histogram": f"SELECT range AS bin, count(x) AS n FROM range(16) LEFT JOIN mp ON {_cell('x', 0, 2, 16)} = range GROUP BY range",
+    "margin_heat_map": f"SELECT {_cell('x', 0, 2, 8)} AS bx, {_cell('y', 0.5, 2, 8)} AS \"by\", count(*) AS n FROM mp GROUP BY 1, 2",
+    "margin_bands": "SELECT floor(y * 10)::BIGINT AS band, count(*) AS n, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.95), 6) AS p95 FROM mp GROUP BY 1",
+}
 ORACLES["encode_mlp_arrow"] = ORACLES["encode_mlp"]
 assert HIDDEN == len(MLP[0].weights)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -37,7 +38,7 @@ class Index:
     """What a search reads: vectors, thresholds, coded rows, members and clusters (the last two if clustered)."""
 
     vectors: DataFrame
-    layers: list
+    layers: list | encode.Encoder
     thr: DataFrame
     coded: DataFrame
     members: DataFrame | None = None
@@ -48,7 +49,7 @@ class Index:
         return buckets.histogram(self.coded)
 
     def encoded_queries(self, queries: DataFrame) -> DataFrame:
-        return encode.encode(queries, self.layers)
+        return encoded(queries, self.layers)
 
     def write(self, path: str, partitions: int = 200) -> None:
         """The index as tables laid out by bucket: rows of a bucket lie together, so a probe prunes files by statistics of `code`."""
@@ -60,11 +61,18 @@ class Index:
                 df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def build(vectors: DataFrame, layers: list, policy: Policy | None = None, rounds: int = 2) -> Index:
-    encoded = encode.encode(vectors, layers)
-    thr = buckets.thresholds(encoded)
-    coded = buckets.bucket_codes(encoded, thr)
-    members, clusters = (None, None) if policy is None else cluster.lloyd(coded, policy, rounds)
+def encoded(df: DataFrame, layers: list | encode.Encoder) -> DataFrame:
+    """The frame with logits, by layers or by an encoder of the caller's own."""
+    return layers(df) if callable(layers) else encode.encode(df, layers)
+
+
+def build(vectors: DataFrame, layers: list | encode.Encoder, policy: Policy | None = None, rounds: int = 2, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> Index:
+    """The index. On large tables pass `storage.reliable` as `cut`: thresholds, coded rows and each pass of centroids are then computed
+    once and kept, where they would be computed again for every use."""
+    rows = encoded(vectors, layers)
+    thr = cut(buckets.thresholds(rows))
+    coded = cut(buckets.bucket_codes(rows, thr))
+    members, clusters = (None, None) if policy is None else cluster.lloyd(coded, policy, rounds, cut=cut)
     return Index(vectors, layers, thr, coded, members, clusters)
 
 

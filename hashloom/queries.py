@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import vectors as V
-from .operators import buckets, calibrate, centroid, cluster, encode, evaluate, refine, route
+from .operators import buckets, calibrate, centroid, cluster, encode, evaluate, refine, report, route
 from .operators.cluster import Policy
 from .operators.encode import Layer
-from .plans import search
+from .plans import search, storage
 from .plans.search import SearchConfig
 
 BITS, DIM, QUERIES, MAX_SCORE, BINS, ALPHA = 6, 64, 20, 1.0, 8, 0.7
@@ -46,7 +46,7 @@ class Ctx:
         self.queries = self.base.where(F.col("vec_id") < QUERIES).select(F.col("vec_id").alias("qid"), "embedding")
 
     def index(self, policy: Policy | None = None) -> search.Index:
-        return search.build(self.base, LINEAR, policy)
+        return search.build(self.base, LINEAR, policy, cut=storage.reliable if policy else lambda df: df)
 
     def coded_queries(self, ix: search.Index) -> DataFrame:
         return buckets.bucket_codes(ix.encoded_queries(self.queries), ix.thr)
@@ -581,3 +581,65 @@ def selective_similarity_loss(c: Ctx) -> DataFrame:
     p = e.crossJoin(F.broadcast(e.select(F.col("vec_id").alias("j"), F.col("v").alias("w"), F.col("logits").alias("m")))).where("vec_id <> j")
     p = p.select(F.sqrt(V.l2sq(F.col("v"), F.col("w"))).alias("s_in"), F.sqrt(V.l2sq(F.col("logits"), F.col("m"))).alias("s_emb"))
     return rounded(encode.selective_similarity_loss(p, 1.3, 0.6, BITS, DIM), "loss")
+
+
+@query
+def pairwise_l2_matrix(c: Ctx) -> DataFrame:
+    return _scanned(c, V.l2sq_by_norms, "d2")
+
+
+@query
+def sample_share(c: Ctx) -> DataFrame:
+    return calibrate.sample_share(c.base, 0.05).select("vec_id", "label")
+
+
+@query
+def cluster_sizes(c: Ctx) -> DataFrame:
+    s = cluster.cluster_sizes(c.index(POLICY).members)
+    return s.select("code", F.col("cid").cast("bigint").alias("cid"), "n", F.col("offset").cast("bigint").alias("offset"))
+
+
+@query
+def bucket_percentiles_dense(c: Ctx) -> DataFrame:
+    return buckets.size_percentiles_dense(buckets.histogram(c.index().coded.where("vec_id % 3 = 0")), BITS)
+
+
+@query
+def y_spaces(c: Ctx) -> DataFrame:
+    t = c.truth()
+    return reduce(DataFrame.unionByName, (t.select("qid", "vec_id", F.lit(s).alias("space"), r6(calibrate.in_space(F.col("dist"), s), "y")) for s in calibrate.Y_SPACES))
+
+
+@query
+def probed_spans(c: Ctx) -> DataFrame:
+    ix = c.index(POLICY)
+    m = centroid.merged_spans(centroid.spans(c.probes(ix), ix.clusters))
+    return m.select("qid", *(F.col(k).cast("bigint").alias(k) for k in ("bin", "start", "stop")))
+
+
+@query
+def margin_scatter(c: Ctx) -> DataFrame:
+    p = c.margin_pairs(c.index()).withColumn("key", F.col("qid") * 100_000 + F.col("vec_id"))
+    return rounded(report.scatter(p, "x", "y", "key", 60), "x", "y")
+
+
+@query
+def margin_summary(c: Ctx) -> DataFrame:
+    s = report.summary(c.margin_pairs(c.index()), "x", "y")
+    return rounded(s, *s.columns)
+
+
+@query
+def margin_histogram(c: Ctx) -> DataFrame:
+    return report.histogram(c.margin_pairs(c.index()), "x", 0.0, 2.0, 16)
+
+
+@query
+def margin_heat_map(c: Ctx) -> DataFrame:
+    return report.heat_map(c.margin_pairs(c.index()), "x", "y", (0.0, 2.0, 0.5, 2.0), 8)
+
+
+@query
+def margin_bands(c: Ctx) -> DataFrame:
+    p = c.margin_pairs(c.index())
+    return rounded(p.groupBy(F.floor(F.col("y") * 10).alias("band")).agg(F.count("*").alias("n"), F.percentile("x", F.lit(0.5)).alias("p50"), F.percentile("x", F.lit(0.95)).alias("p95")), "p50", "p95")

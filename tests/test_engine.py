@@ -262,3 +262,37 @@ def test_without_the_pipeline_operators_the_rest_works():
     root = Path(__file__).resolve().parent.parent
     code = "import sys; sys.modules['hashloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'ann_search_top10' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_batches_of_spans():
+    assert centroid.span_batches([2, 2, 3, 9, 1], 4) == [4, 3, 4, 4, 2]
+    assert centroid.span_batches([], 4) == [] and centroid.span_batches([4, 4], 4) == [4, 4]
+
+
+def test_an_encoder_of_ones_own(spark):
+    c = Ctx(spark, SMALL)
+    own = search.build(c.base, lambda df: df.withColumn("logits", F.slice(V.doubles(F.col("embedding")), 1, 4)))
+    assert own.hist.agg(F.sum("n")).first()[0] == 500
+    hits = search.search(own, c.queries, search.SearchConfig(bits=4, rmax=4))
+    assert hits.count() == 200
+
+
+def test_report_csv_and_pivot(spark, tmp_path):
+    from hashloom.operators import report
+
+    (tmp_path / "b.csv").write_text("dataset,method,hours\na,x,1.5\na,y,2\nb,x,3\n")
+    got = report.build_times(spark, str(tmp_path / "b.csv")).collect()
+    assert [tuple(r) for r in got] == [("a", 1.5, 2.0), ("b", 3.0, None)]
+    report.write_csv(spark.range(3), str(tmp_path / "out"))
+    assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 3
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from hashloom.__main__ import main
+
+    np.save(tmp_path / "a.npy", np.ones((5, 3), np.float32))
+    main(["inspect", str(tmp_path / "a.npy")])
+    assert "n=5" in capsys.readouterr().out
+    main(["convert", str(tmp_path / "a.npy"), str(tmp_path / "p")])
+    main(["sample", str(tmp_path / "p"), str(tmp_path / "s"), "--n", "2"])
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 2
