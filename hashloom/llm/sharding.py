@@ -34,14 +34,15 @@ def _settled(sums: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     each = each.withColumn("bucket", F.expr(f"shiftright(leaf, {high} - depth)"))
     whole = each.groupBy("depth", "bucket").agg(F.sum("bytes").alias("bucket_bytes"))
     fits = each.join(whole.where(F.col("bucket_bytes") <= limit), ["depth", "bucket"]).groupBy("leaf").agg(F.min(F.struct("depth", "bucket_bytes")).alias("best"))
-    return sums.join(fits, "leaf", "left").select("leaf", F.col("best.depth").alias("depth"), F.coalesce("best.bucket_bytes", "bytes").alias("shard_bytes"))
+    return sums.join(fits.hint("merge"), "leaf", "left").select("leaf", F.col("best.depth").alias("depth"), F.coalesce("best.bucket_bytes", "bytes").alias("shard_bytes"))
 
 
 def assign(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id (the key), n_bytes, shard (its prefix as binary digits), depth, shard_bytes, oversized.
 
     One pass over the texts; what follows works on hashes and sizes. A pass refines the buckets that are still too large by some bits:
-    its sums have about (bytes / limit) * 2**REFINE rows, and rows reach it pre-aggregated, so no key or source is hot."""
+    its sums have about (bytes / limit) * 2**REFINE rows, and rows reach it pre-aggregated, so no key or source is hot. The directory grows with the table (a few
+    rows for each shard), so it is merged with the hashes and never broadcast."""
     sized = stored(docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("n_bytes"), key_hash(F.col(f"`{key}`")).alias("h")), "sizes")
     total = sized.agg(F.sum("n_bytes")).first()[0] or 0
     low, out, rest = 0, None, sized
@@ -50,12 +51,12 @@ def assign(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id", text:
         here = rest.withColumn("leaf", prefix(high))
         leaves = stored(_settled(here.groupBy("leaf").agg(F.sum("n_bytes").alias("bytes")), low, high, limit), "directory")
         last = high >= HASH_BITS
-        found = here.join(leaves if last else leaves.where("depth is not null"), "leaf").select("doc_id", "n_bytes", "h", F.coalesce("depth", F.lit(HASH_BITS)).alias("depth"), "shard_bytes")
+        found = here.join((leaves if last else leaves.where("depth is not null")).hint("merge"), "leaf").select("doc_id", "n_bytes", "h", F.coalesce("depth", F.lit(HASH_BITS)).alias("depth"), "shard_bytes")
         out = found if out is None else out.unionByName(found)
         too_large = leaves.where("depth is null")
         if last or too_large.isEmpty():
             break
-        rest = stored(here.join(too_large.select("leaf"), "leaf", "left_semi").select("doc_id", "n_bytes", "h"), "oversized")
+        rest = stored(here.join(too_large.select("leaf").hint("merge"), "leaf", "left_semi").select("doc_id", "n_bytes", "h"), "oversized")
         low, high = high + 1, min(HASH_BITS, high + REFINE)
     return out.select(
         "doc_id",
