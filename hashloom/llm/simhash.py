@@ -141,7 +141,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     found = stored(classes(docs).select("doc_id", "component_id"), "classes")
     twice = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     gone = found.where("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    # what goes grows with the corpus, so it is merged with the documents and never broadcast
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")
     if twice.isEmpty():
         return kept
     return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
