@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from xxhash import xxh64_intdigest
 
 from .shared import id_and_text
 
@@ -32,24 +33,10 @@ _TOKEN = re.compile(r"\w+")
 _TABLE_BITS = 22
 
 
-class _Hashes(dict):
-    """Token -> 64-bit hash, held while it is small."""
-
-    def __missing__(self, token: str) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) > 150_000:
-            self.clear()
-        self[token] = h = xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_hashes = _Hashes()
-
-
 def token_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the lower-case words."""
     words = _TOKEN.findall(text.lower())
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
 def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
@@ -158,7 +145,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKEN
             for pdf in batches:
                 rows = [(d, *x) for d, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"]) for x in items.leaks(token_hashes(t))]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "agree", "first_token", "run_tokens"]).astype({"doc_id": "Int64", "item_id": "int64", "agree": "int32", "first_token": "int32", "run_tokens": "int32"})
-            _hashes.clear()  # the worker goes on to other tasks
 
         found = text.mapInPandas(run, schema)
         out = found if out is None else out.unionByName(found)
@@ -179,7 +165,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BL
             for batch in batches:
                 clean = [not items.leaks(token_hashes(t or "")) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
-            _hashes.clear()
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs
