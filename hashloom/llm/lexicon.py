@@ -200,8 +200,18 @@ class Lexicon:
         return out
 
 
-@lru_cache(4)
+_held: dict[tuple[str, str], bpe.PieceEncoder] = {}
+
+
 def _coder(name: str, path: str) -> bpe.PieceEncoder:
+    """Encoder over a published lexicon; a worker holds one, and lets it go before it makes another."""
+    if (name, path) not in _held:
+        _held.clear()
+        _held[name, path] = _made(name, path)
+    return _held[name, path]
+
+
+def _made(name: str, path: str) -> bpe.PieceEncoder:
     from pyspark import SparkFiles
 
     file = SparkFiles.get(name)
@@ -227,7 +237,7 @@ def _coder(name: str, path: str) -> bpe.PieceEncoder:
             out += [part] if isinstance(part, int) else learn(bpe.pieces(part, path))[0].tolist()
         return out
 
-    return bpe.PieceEncoder(path, learn, whole, limit=1_000_000)
+    return bpe.PieceEncoder(path, learn, whole, limit=500_000)
 
 
 _published: set[tuple[str, str]] = set()
