@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Fixed masks select some tokens of a window and ignore the others, so a seed survives substitutions in the ignored places. Seeds of the
-benchmark and of the documents meet by hash; around each hit the two texts are laid on the hit's diagonal and the best run of
-agreeing tokens is measured, substitutions allowed. An item is leaked into a document if a run agrees in 13 tokens (all of a shorter
+benchmark and of the documents meet by hash; around each hit the two texts are laid on the hit's diagonal and all runs of
+agreeing tokens are tried, substitutions allowed. An item is leaked into a document if a run agrees in 13 tokens (all of a shorter
 item's share) and in at least 0.8 of its length.
 
 The benchmark is the stated query set: it is taken in blocks of bounded size, each sent to the tasks that read the documents, so no
@@ -29,6 +29,8 @@ MASKS = ("110100110101", "101101001011", "111010010111")
 SHORT = "11111"
 #: Agreeing tokens that make a leak, the share of the run that must agree, tokens of a block of benchmark items.
 AGREE, SHARE, BLOCK_TOKENS = 13, 0.8, 1 << 18
+#: Agreeing tokens that make up for one that differs, at the least share.
+COST = round(SHARE / (1 - SHARE))
 _TOKEN = re.compile(r"\w+")
 _TABLE_BITS = 22
 
@@ -53,12 +55,21 @@ def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
 
 
 def best_run(same: np.ndarray) -> tuple[int, int, int]:
-    """Start, end and agreeing places of the run with the largest surplus of agreement; a disagreement costs two agreements."""
-    gain = np.concatenate(([0], np.cumsum(np.where(same, 1, -2))))
-    low = np.minimum.accumulate(gain)
-    end = int(np.argmax(gain - low))
-    start = int(np.flatnonzero(gain[: end + 1] == low[end])[-1])
-    return start, end, int(same[start:end].sum())
+    """Start, end and agreeing places of the run with the most agreeing places among all runs that agree in SHARE of their length; of equal
+    ones the shortest. It starts and ends with an agreeing place.
+
+    Each agreeing place adds one and each other takes COST, so a run has its share if the sum over it isn't negative; for each end the first
+    start from which it isn't is found among the least sums so far."""
+    ends = np.flatnonzero(same) + 1
+    if not len(ends):
+        return 0, 0, 0
+    gain = np.concatenate(([0], np.cumsum(np.where(same, 1, -COST))))
+    start = np.searchsorted(-np.minimum.accumulate(gain), -gain[ends], "left")
+    first = np.searchsorted(ends, start, "right")  # agreeing places before the start
+    agree = np.arange(1, len(ends) + 1) - first
+    start = ends[first] - 1
+    best = int(np.lexsort((ends - start, -agree))[0])
+    return int(start[best]), int(ends[best]), int(agree[best])
 
 
 class Benchmark:

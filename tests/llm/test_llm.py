@@ -203,6 +203,33 @@ def test_spaced_seeds_ignore_places():
         assert a[10] == b[10] and (a != b).sum() == mask.count("1")
 
 
+def runs_by_hand(same):
+    """Most agreeing places of a run that has its share, and the length of the shortest such run."""
+    n, gain = len(same), np.concatenate(([0], np.cumsum(same)))
+    found = [(gain[e] - gain[s], s - e) for s in range(n) for e in range(s + 1, n + 1) if 5 * (gain[e] - gain[s]) >= 4 * (e - s)]
+    agree, length = max(found, default=(0, 0))
+    return int(agree), -int(length) if agree else 0
+
+
+def test_every_run_of_a_diagonal_is_tried():
+    rng = np.random.default_rng(3)
+    cases = [rng.random(n) >= q for n, q in ((1, 0.5), (5, 0.3), (20, 0.2), (45, 0.2), (60, 0.2), (60, 0.25), (80, 0.4)) for _ in range(60)]
+    cases += [np.zeros(9, bool), np.ones(9, bool), np.zeros(0, bool)]
+    # 13 in a row, a gap, and much text that agrees in less than the share
+    cases.append(np.array([1] * 13 + [0] * 4 + [1, 1, 1, 0] * 10, bool))
+    for same in cases:
+        start, end, agree = decontam.best_run(same)
+        assert (agree, end - start) == runs_by_hand(same) and agree == same[start:end].sum()
+
+
+def test_a_rewritten_surrounding_hides_no_leak():
+    t = np.arange(1, 101, dtype=np.uint64)
+    doc = t.copy()
+    doc[13:17] += 1000
+    doc[np.arange(20, 100, 4)] += 1000  # the rest agrees in three of four
+    assert [(i, a) for i, a, _, _ in decontam.Benchmark([(5, t)]).leaks(doc)] == [(5, 16)]
+
+
 # --- op4, op7
 
 
