@@ -1,6 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks select some tokens of a window and ignore the others, so a seed survives substitutions in the ignored places. Seeds of the
+Fixed masks select some tokens of a window and ignore the others, so a seed survives substitutions in the ignored places; together the masks
+hit every run that makes a leak. Seeds of the
 benchmark and of the documents meet by hash; around each hit the two texts are laid on the hit's diagonal and all runs of
 agreeing tokens are tried, substitutions allowed. An item is leaked into a document if a run agrees in 13 tokens (all of a shorter
 item's share) and in at least 0.8 of its length.
@@ -24,9 +25,12 @@ from xxhash import xxh64_intdigest
 
 from .shared import id_and_text
 
-#: The masks (1: the token counts), and a solid one that short items have besides.
-MASKS = ("110100110101", "101101001011", "111010010111")
-SHORT = "11111"
+#: The mask of all items, the masks that items too short for AGREE have besides (1: the token counts), and the least item.
+#: Every leak is hit. A run of m differing tokens without four agreeing ones in a row agrees in 3 * (m + 1) at most and needs 4 * m, so m is
+#: 3 at most and the run agrees in 12, which is under AGREE; what is left are short items (a test enumerates them).
+SOLID = "1111"
+MASKS = ("11011", "10111", "11101")
+LEAST = 5
 #: Agreeing tokens that make a leak, the share of the run that must agree, tokens of a block of benchmark items.
 AGREE, SHARE, BLOCK_TOKENS = 13, 0.8, 1 << 18
 #: Agreeing tokens that make up for one that differs, at the least share.
@@ -81,10 +85,10 @@ class Benchmark:
         self.begin = np.cumsum(self.n) - self.n
         self.tokens = np.concatenate([t for _, t in items]) if items else np.zeros(0, np.uint64)
         self.tables = []
-        for mask in (*MASKS, SHORT):
+        for mask in (SOLID, *MASKS):
             h, item, at = [], [], []
             for k, (_, t) in enumerate(items):
-                if mask == SHORT and len(t) >= 2 * len(MASKS[0]):
+                if mask != SOLID and SHARE * len(t) >= AGREE:
                     continue
                 s = seeds(t, mask)
                 h.append(s)
@@ -133,7 +137,7 @@ def blocks(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> Iterator[B
     """The items in blocks of about `block_tokens` tokens, one after the other; one block at a time is in the driver."""
     held: list = []
     for r in benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit(""))).where("item_id is not null").toLocalIterator():
-        if len(t := token_hashes(r[1])) >= len(SHORT):
+        if len(t := token_hashes(r[1])) >= LEAST:
             held.append((r[0], t))
         if sum(len(t) for _, t in held[-1:]) and sum(len(t) for _, t in held) >= block_tokens:
             yield Benchmark(held)

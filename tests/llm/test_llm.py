@@ -222,6 +222,35 @@ def test_every_run_of_a_diagonal_is_tried():
         assert (agree, end - start) == runs_by_hand(same) and agree == same[start:end].sum()
 
 
+def test_seeds_hit_every_leak():
+    from itertools import combinations
+
+    ones = lambda mask: int(mask, 2)
+    hit = lambda bits, masks: any(bits >> k & ones(m) == ones(m) for m in masks for k in range(bits.bit_length()))
+    # the runs that make a leak of a long item, each as its agreeing places
+    for n in range(13, 26):
+        for differ in range(min(n // 5, n - 13) + 1):
+            for places in combinations(range(n), differ):
+                assert hit((1 << n) - 1 - sum(1 << p for p in places), [decontam.SOLID])
+    # every way in which a short item agrees
+    for n in range(5, 17):
+        for bits in range(1 << n):
+            if 5 * bits.bit_count() >= 4 * min(n, 16) and not hit(bits, [decontam.SOLID, *decontam.MASKS]):
+                raise AssertionError((n, bin(bits)))
+    # and by the code: 13 of 16 in a long item, 4 of 5 in an item of five
+    t = np.arange(1, 41, dtype=np.uint64)
+    bench, short = decontam.Benchmark([(5, t)]), decontam.Benchmark([(6, t[:5])])
+    for places in combinations(range(16), 3):
+        doc = np.arange(1000, 1036, dtype=np.uint64)
+        doc[10:26] = t[20:36]
+        doc[[10 + p for p in places]] = 0
+        assert [r[0] for r in bench.leaks(doc)] == [5]
+    for p in range(5):
+        doc = t[:5].copy()
+        doc[p] = 99
+        assert [r[:2] for r in short.leaks(doc)] == [(6, 4)]
+
+
 def test_a_rewritten_surrounding_hides_no_leak():
     t = np.arange(1, 101, dtype=np.uint64)
     doc = t.copy()
