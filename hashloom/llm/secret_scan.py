@@ -28,7 +28,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: A candidate may start after `=` and holds it as trailing padding only, so the value of NAME=value is tested by itself.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{14,}(?:=+(?![A-Za-z0-9+/_=-]))?")
+CANDIDATE_LEAST = 20
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings from the smallest alphabet on.
 ALPHABETS = {
@@ -99,7 +101,7 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, in
         base += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST["hex"]]
         for m in CANDIDATE.finditer(text):
             token = m.group()
-            if any(s <= m.start() and m.end() <= e for _, s, e in base):
+            if len(token) < CANDIDATE_LEAST or any(s <= m.start() and m.end() <= e for _, s, e in base):
                 continue
             if kind := encoding(token):
                 if len(token.rstrip("=")) * math.log2(len(ALPHABETS[kind])) >= BITS:

@@ -534,6 +534,22 @@ def test_random_tokens_are_told_from_structured_ones(spark):
     assert np.mean([got[i] for i in range(60)]) > 0.85 and not any(got[100 + i] for i in range(40))
 
 
+def test_values_after_a_name_are_candidates():
+    rng = random.Random(9)
+    token = "".join(rng.choice(secret_scan.ALPHABETS["base62"]) for _ in range(39)) + "7"
+    for before in ("", ": ", "PRIVATE_KEY=", "auth=", "AWS_SESSION=", "https://h/p?sig=", "?a=b&sig=", "x == ", "x=="):
+        for pad in ("", "=", "=="):
+            for after in ("", " end", "&x=1", '"'):
+                text = f"see {before}{token}{pad}{after}"
+                at = text.index(token)
+                assert [(s, e) for s, e, _, _ in secret_scan.scan(text)[1]] == [(at, at + len(token + pad))]
+                assert secret_scan.redact(text, [0.0] * 4) == text.replace(token + pad, "[RANDOM]")
+    # the least length counts padding; names of a value and short tokens are none
+    assert len(secret_scan.scan("k=" + token[-18:] + "== ")[1]) == 1 and not secret_scan.scan("k=" + token[-18:] + "= ")[1]
+    # base spans still hold their value
+    assert secret_scan.redact(f"token={token}", [0.0] * 4) == "[ASSIGN]"
+
+
 def test_redaction(spark):
     d = spark.createDataFrame([(0, "x password=abcdef12 y", 21, "keep"), (1, None, None, "z"), (2, "clean", 99, "z")], "doc_id long, text string, n_chars long, base string")
     got = {r["doc_id"]: r for r in rows_of(secret_scan.redacted(d))}
