@@ -45,8 +45,9 @@ ALPHABETS = {
 }
 _SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
 _ORDER = {k: {c: i for i, c in enumerate(sorted(v))} for k, v in ALPHABETS.items()}
-#: Rate of false discoveries, least bits that a random token of its length would hold, edges of the classes of length, bins of p-values.
-RATE, BITS, LENGTHS, BINS = 0.05, 80.0, (32, 48, 96), 4000
+#: Rate of false discoveries, least bits that a random token of its length would hold, edges of the classes of length, bins of p-values
+#: (equal in their logarithm) and the p-value that the last one goes up to.
+RATE, BITS, LENGTHS, BINS, TINY = 0.05, 80.0, (32, 48, 96), 20_000, 1e-300
 
 
 def encoding(token: str) -> str | None:
@@ -128,20 +129,23 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def rejection_limits(tested: DataFrame, rate: float = RATE) -> list[float]:
-    """For each class of length the p-value up to which a token counts as structured (Benjamini and Hochberg over all documents' candidates).
-    Only a histogram of fixed size reaches the driver."""
-    t = tested.select(F.explode("tested").alias("t")).select("t.length", F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
-    count: dict[int, Counter] = {}
-    for r in t.groupBy("length", "bin").count().collect():
-        count.setdefault(r["length"], Counter())[r["bin"]] = r["count"]
+    """For each class of length the p-value under which a token counts as structured (Benjamini and Hochberg over all documents' candidates).
+    Only a histogram of fixed size reaches the driver, with the largest p-value of each bin; the limit is the exact procedure's, or less by
+    a bin's width (3.5 %) where that one's lies within a bin."""
+    scale = BINS / -math.log(TINY)
+    t = tested.select(F.explode("tested").alias("t")).select("t.length", "t.p", F.least(F.floor(F.log(F.greatest("t.p", F.lit(TINY))) * -scale), F.lit(BINS - 1)).cast("int").alias("bin"))
+    count: dict[int, dict[int, tuple[int, float]]] = {}
+    for r in t.groupBy("length", "bin").agg(F.count("*").alias("n"), F.max("p").alias("top")).collect():
+        count.setdefault(r["length"], {})[r["bin"]] = r["n"], r["top"]
     out = []
     for c in range(len(LENGTHS) + 1):
-        bins = count.get(c, Counter())
-        total, rank, limit = sum(bins.values()), 0, 0.0
-        for b in sorted(bins):
-            rank += bins[b]
-            if (b + 1) / BINS <= rate * rank / total:
-                limit = (b + 1) / BINS
+        bins = count.get(c, {})
+        total, rank, limit = sum(n for n, _ in bins.values()), 0, 0.0
+        for b in sorted(bins, reverse=True):  # from the smallest p-values on
+            n, top = bins[b]
+            rank += n
+            if top <= rate * rank / total:
+                limit = math.nextafter(top, 2)
         out.append(limit)
     return out
 

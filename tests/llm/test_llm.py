@@ -534,6 +534,20 @@ def test_random_tokens_are_told_from_structured_ones(spark):
     assert np.mean([got[i] for i in range(60)]) > 0.85 and not any(got[100 + i] for i in range(40))
 
 
+def test_limits_follow_the_exact_procedure(spark):
+    rng = np.random.default_rng(6)
+    made = [np.append(rng.random(6000), np.full(5, 1e-12)), np.append(rng.random(3000), 10 ** -rng.uniform(0, 40, 300)), rng.random(500), np.append(rng.random(1000), np.zeros(4))]
+    rows = [(i, [(0, 20, c, float(p)) for p in ps]) for c, all_p in enumerate(made) for i, ps in enumerate(np.array_split(all_p, 7))]
+    tested = spark.createDataFrame(rows, "doc_id long, tested array<struct<start:int,end:int,length:int,p:double>>")
+    for limit, p in zip(secret_scan.rejection_limits(tested), map(np.sort, made), strict=True):
+        exact = np.flatnonzero(p <= secret_scan.RATE * np.arange(1, len(p) + 1) / len(p))
+        want = int(exact[-1]) + 1 if len(exact) else 0
+        got = int((p < limit).sum())
+        assert got <= want and (p[got:want] > 0.96 * p[max(want - 1, 0)]).all()
+    low = secret_scan.rejection_limits(tested)
+    assert (made[0] < low[0]).sum() >= 5 and (made[3] < low[3]).sum() >= 4  # few structured tokens among many
+
+
 def test_values_after_a_name_are_candidates():
     rng = random.Random(9)
     token = "".join(rng.choice(secret_scan.ALPHABETS["base62"]) for _ in range(39)) + "7"
