@@ -28,9 +28,9 @@ from .shared import id_and_text, stored
 
 #: Ids in a block, about: it bounds the memory of a task. A block has one document at least.
 BLOCK_IDS = 1 << 20
-#: Rounds of replacement, pairs replaced in a round, and the least count of a pair worth a rule.
-ROUNDS, PAIRS, LEAST = 3, 4096, 12
-_SLOT_BITS = 18
+#: The least count of a pair that is replaced, and the least number of its replacements in a round that pays for a rule.
+LEAST, WORTH = 12, 4
+_SLOT_BITS = 20
 _NULL_ID = -(1 << 63)
 
 
@@ -60,57 +60,54 @@ def encoder(path: str) -> bpe.PieceEncoder:
 
 
 def compress(seq: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, where each document ends among them, and the rules (pairs of symbols). Pairs within a document alone are replaced.
+    """Symbols, where each document ends among them, and the rules (pairs of symbols). Pairs within a document alone are replaced, round
+    after round until no pair is left that occurs LEAST times.
 
-    Pairs are counted in a hash table whose slots each stand for one pair; of pairs that share a slot one is seen in a round, which costs
-    a little space and never correctness."""
+    Counts are exact: a hash table of counts sorts out what lies in slots under LEAST, the pairs of the others are counted one by one. The most
+    frequent pair of a round loses no overlap to another one, so each round has a pair that is worth a rule and the rounds end."""
     seq, rules, count = seq.astype(np.uint32), [], 0
     slots = 1 << _SLOT_BITS
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST:
-            break
+    while len(seq) > LEAST:
         a, b = seq[:-1], seq[1:]
-        slot = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _SLOT_BITS)).astype(np.int64)
+        slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _SLOT_BITS)
         last = ends - 1
         slot[last[(last >= 0) & (last < len(slot))]] = slots
-        holder = np.zeros(slots + 1, np.int64)
-        holder[slot] = np.arange(len(slot))
-        holder[slots] = 0
-        often = np.bincount(slot, minlength=slots + 1)
-        often[slots] = 0
-        good = np.flatnonzero(often >= LEAST)
+        often = np.bincount(slot, minlength=slots + 1) >= LEAST
+        often[slots] = False
+        maybe = np.flatnonzero(often[slot])
+        pairs = a[maybe].astype(np.uint64) << np.uint64(32) | b[maybe]
+        ordered = np.sort(pairs)
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(ordered)))
+        good, n = ordered[first[n >= LEAST]], n[n >= LEAST]
         if not len(good):
             break
-        if len(good) > PAIRS:
-            good = good[np.argpartition(-often[good], PAIRS)[:PAIRS]]
-        good = good[np.argsort(-often[good], kind="stable")]  # most frequent first
-        left, right = a[holder[good]], b[holder[good]]
         none = len(good)
-        rank_at = np.full(slots + 1, none, np.int32)
-        rank_at[good] = np.arange(none)
-        rank = rank_at[slot]
-        maybe = np.flatnonzero(rank < none)
-        r = rank[maybe]
-        wrong = (left[r] != a[maybe]) | (right[r] != b[maybe])
-        rank[maybe[wrong]] = none
-        where, r = maybe[~wrong], r[~wrong]
+        order = np.argsort(-n, kind="stable")  # most frequent first
+        rank_of = np.empty(none, np.int32)
+        rank_of[order] = np.arange(none)
+        at = np.minimum(np.searchsorted(good, pairs), none - 1)
+        known = good[at] == pairs
+        where, r = maybe[known], rank_of[at[known]]
+        rank = np.full(len(slot), none, np.int32)
+        rank[where] = r
+        left, right = (good[order] >> np.uint64(32)).astype(np.uint32), good[order].astype(np.uint32)
         # where chosen pairs overlap the more frequent wins; runs of one pair (aaaa) are taken from the left
         around = np.full(len(rank) + 2, none, np.int32)
         around[1:-1] = rank
         fits = (r <= around[where + 2]) & (r <= around[where])
         same = fits & (r == around[where])
         where, r, same = where[fits], r[fits], same[fits]
-        if not len(where):
-            break
         if same.any():
             start = np.maximum.accumulate(np.where(~same, where, 0))
             even = (where - start) % 2 == 0
             where, r = where[even], r[even]
             apart = np.append(True, np.diff(where) > 1)
             where, r = where[apart], r[apart]
-        number = np.zeros(none, np.int64)
-        number[r] = 1
-        used = np.flatnonzero(number)
+        number = np.bincount(r, minlength=none)
+        worth = number[r] >= WORTH
+        where, r = where[worth], r[worth]
+        used = np.flatnonzero(number >= WORTH)
         number[used] = base + count + np.arange(len(used))
         seq[where] = number[r]
         rules.append(np.stack((left[used], right[used]), axis=1))
@@ -119,8 +116,6 @@ def compress(seq: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         keep[where + 1] = False
         seq = seq[keep]
         ends = ends - np.searchsorted(where + 1, ends)
-        if len(where) < 0.02 * len(seq):
-            break
     return seq, ends, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 

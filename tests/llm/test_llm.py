@@ -348,6 +348,23 @@ def test_repair_is_exact_and_random_access():
         repair.pack([np.array([60_000], np.uint32)], [0], 0, 50_257)
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    from collections import Counter
+
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 50_000, 300).astype(np.uint32)
+    copies = [passage] * 200
+    block = repair.Block(repair.pack(copies, list(range(200)), 0, 50_257))
+    assert len(block.symbols) == 200 and block.length.max() == 300  # one symbol a copy
+    assert all((ids == passage).all() for _, _, ids in block.documents())
+    mixed = [np.concatenate([rng.integers(0, k, 500), passage[: 7 * j], np.full(3 * j, 9)]).astype(np.uint32) for j, k in enumerate([3, 40, 2000, 50_000] * 10)]
+    block = repair.Block(repair.pack(mixed, list(range(40)), 0, 50_257))
+    assert all((ids == m).all() and (block.document(k) == m).all() for (k, _, ids), m in zip(block.documents(), mixed, strict=True))
+    stops = [*block.first.tolist(), len(block.symbols)]
+    left = Counter(p for i, j in zip(stops, stops[1:]) for p in zip(block.symbols[i : j - 1].tolist(), block.symbols[i + 1 : j].tolist()))
+    assert max(left.values()) < repair.LEAST
+
+
 # --- op5
 
 
