@@ -6,8 +6,9 @@ benchmark and of the documents meet by hash; around each hit the two texts are l
 agreeing tokens are tried, substitutions allowed. An item is leaked into a document if a run agrees in 13 tokens (all of a shorter
 item's share) and in at least 0.8 of its length.
 
-The benchmark is the stated query set: it is taken in blocks of bounded size, each sent to the tasks that read the documents, so no
-document moves and no hot passage meets in one task; more benchmark means more passes, never larger blocks.
+The benchmark is the stated query set: its seeds are compiled into files of bounded size, which the tasks that read the documents map into
+memory, so no document moves and no hot passage meets in one task. Each document is read and hashed once, however many files there are.
+Hits are looked up and tried in portions of bounded size, so texts that repeat a word or a passage take time but no more memory.
 
 Odd input: null texts are empty and match nothing; items under 5 tokens match nothing; repeated documents and items are matched each;
 a null doc_id is kept; other columns are ignored; an empty table on either side gives an empty result.
@@ -15,7 +16,9 @@ a null doc_id is kept; other columns are ignored; an empty table on either side
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from .shared import id_and_text
+from .shared import id_and_text, local_file, published
 
 #: The mask of all items, the masks that items too short for AGREE have besides (1: the token counts), and the least item.
 #: Every leak is hit. A run of m differing tokens without four agreeing ones in a row agrees in 3 * (m + 1) at most and needs 4 * m, so m is
@@ -35,6 +38,8 @@ LEAST = 5
 AGREE, SHARE, BLOCK_TOKENS = 13, 0.8, 1 << 18
 #: Agreeing tokens that make up for one that differs, at the least share.
 COST = round(SHARE / (1 - SHARE))
+#: Hits, and places of laid-out diagonals, that a task holds at once.
+HITS = 1 << 20
 _TOKEN = re.compile(r"\w+")
 _TABLE_BITS = 22
 
@@ -76,9 +81,26 @@ def best_run(same: np.ndarray) -> tuple[int, int, int]:
     return int(start[best]), int(ends[best]), int(agree[best])
 
 
+def _most_agreeing(same: np.ndarray) -> np.ndarray:
+    """How many places the best run of each row agrees in, all rows at once (see `best_run`)."""
+    n, width = same.shape
+    gain, agree = np.zeros((n, width + 1), np.int32), np.zeros((n, width + 1), np.int32)
+    np.cumsum(np.where(same, 1, -COST), axis=1, out=gain[:, 1:])
+    np.cumsum(same, axis=1, out=agree[:, 1:])
+    low = np.minimum.accumulate(gain, axis=1)
+    # the least sums so far descend along a row; shifted into a range of numbers of its own, all rows are searched as one sorted array
+    shift = np.arange(n, dtype=np.int64)[:, None] * (2 * (COST + 1) * (width + 2))
+    start = np.searchsorted((shift - low).ravel(), (shift - gain[:, 1:]).ravel(), "left").reshape(n, width) - np.arange(n)[:, None] * (width + 1)
+    return np.where(same, agree[:, 1:] - np.take_along_axis(agree, start, axis=1), 0).max(axis=1)
+
+
 class Benchmark:
     """A block of items with its seeds, in flat arrays."""
 
+    #: Arrays of a block's file, in order; those of the tables follow.
+    HEAD = ("ids", "n", "begin", "tokens")
+    TABLE = ("hash", "item", "at", "seen")
+
     def __init__(self, items: list[tuple[int, np.ndarray]]) -> None:
         self.ids = np.array([i for i, _ in items], np.int64)
         self.n = np.array([len(t) for _, t in items], np.int64)
@@ -102,13 +124,40 @@ class Benchmark:
             seen[self.slot(h)] = True
             self.tables.append((mask, h[order], item[order], at[order], np.packbits(seen)))
 
+    def to_bytes(self) -> bytes:
+        """The block as a file: a list of its arrays, then the arrays."""
+        parts = [getattr(self, k) for k in self.HEAD] + [x for t in self.tables for x in t[1:]]
+        head = json.dumps({"masks": [t[0] for t in self.tables], "arrays": [(x.dtype.str, len(x)) for x in parts]}).encode()
+        head += b" " * (-len(head) % 8)
+        return struct.pack("<Q", len(head)) + head + b"".join(x.tobytes() + bytes(-x.nbytes % 8) for x in parts)
+
+    @classmethod
+    def mapped(cls, file: str) -> Benchmark:
+        """A block whose arrays lie in a mapped file."""
+        raw = np.memmap(file, np.uint8, "r")
+        (size,) = struct.unpack("<Q", bytes(raw[:8]))
+        about, place = json.loads(bytes(raw[8 : 8 + size])), 8 + size
+        got = []
+        for kind, n in about["arrays"]:
+            nbytes = n * np.dtype(kind).itemsize
+            got.append(raw[place : place + nbytes].view(kind))
+            place += nbytes + -nbytes % 8
+        out = cls.__new__(cls)
+        for k, x in zip(cls.HEAD, got):
+            setattr(out, k, x)
+        rest, step = got[len(cls.HEAD) :], len(cls.TABLE)
+        out.tables = [(m, *rest[k * step : (k + 1) * step]) for k, m in enumerate(about["masks"])]
+        return out
+
     @staticmethod
     def slot(h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
-    def leaks(self, tokens: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item_id, agreeing tokens, first token in the document, tokens of the run) of each item leaked into the document."""
-        spots = []
+    def leaks(self, tokens: np.ndarray, most: int = HITS) -> list[tuple[int, int, int, int]]:
+        """(item_id, agreeing tokens, first token in the document, tokens of the run) of each item leaked into the document; `most`: hits
+        that are held at once, about."""
+        best: dict[int, tuple[int, int, int]] = {}
+        whole = np.zeros(len(self.ids), bool)  # items found in full: nothing more can be found of them
         for mask, h, item, at, seen in self.tables:
             s = seeds(tokens, mask)
             slot = self.slot(s)
@@ -117,69 +166,107 @@ class Benchmark:
                 continue
             lo, hi = np.searchsorted(h, s[maybe], "left"), np.searchsorted(h, s[maybe], "right")
             n = hi - lo
-            k = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            spots.append(np.stack((item[k], np.repeat(maybe, n) - at[k]), axis=1))
-        if not spots:
-            return []
-        best: dict[int, tuple[int, int, int]] = {}
-        for k, d in np.unique(np.concatenate(spots), axis=0).tolist():
-            t = self.tokens[self.begin[k] : self.begin[k] + self.n[k]]
-            lo, hi = max(0, -d), min(len(t), len(tokens) - d)
-            if hi - lo < min(AGREE, SHARE * len(t)) or best.get(k, (0,))[0] == len(t):
-                continue
-            start, end, agree = best_run(tokens[d + lo : d + hi] == t[lo:hi])
-            if agree >= min(AGREE, SHARE * len(t)) and agree >= SHARE * (end - start) and agree > best.get(k, (0,))[0]:
-                best[k] = agree, d + lo + start, end - start
+            some = n > 0
+            lo, n, maybe = lo[some], n[some], maybe[some]
+            portion = np.cumsum(n) // most
+            for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(portion)) + 1) if len(n) else ():
+                k = np.repeat(lo[part], n[part]) + np.arange(int(n[part].sum())) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+                hit, diagonal = item[k], np.repeat(maybe[part], n[part]) - at[k]
+                if whole.any():
+                    open_ = ~whole[hit]
+                    hit, diagonal = hit[open_], diagonal[open_]
+                if len(hit):
+                    self._try(tokens, hit, diagonal, best, whole)
         return [(int(self.ids[k]), *v) for k, v in sorted(best.items())]
 
+    def _try(self, tokens: np.ndarray, hit: np.ndarray, diagonal: np.ndarray, best: dict, whole: np.ndarray) -> None:
+        """Lay the items of the hits on their diagonals and keep the best run of each item."""
+        both = np.unique(np.stack((hit, diagonal), axis=1), axis=0)
+        first = np.flatnonzero(np.append(True, both[1:, 0] != both[:-1, 0]))
+        for a, b in zip(first, [*first[1:], len(both)]):
+            k = int(both[a, 0])
+            t = self.tokens[self.begin[k] : self.begin[k] + self.n[k]]
+            need = min(AGREE, SHARE * len(t))
+            d = both[a:b, 1]
+            if b - a == 1:
+                lo, hi = max(0, -int(d[0])), min(len(t), len(tokens) - int(d[0]))
+                found = [(int(d[0]) + lo + s, e - s, g) for s, e, g in [best_run(tokens[d[0] + lo : d[0] + hi] == t[lo:hi])]]
+            else:
+                found = []
+                step = max(1, HITS // len(t))
+                for x in range(0, len(d), step):
+                    place = d[x : x + step, None] + np.arange(len(t))[None, :]
+                    inside = (place >= 0) & (place < len(tokens))
+                    same = (tokens[np.clip(place, 0, len(tokens) - 1)] == t[None, :]) & inside
+                    top = int(_most_agreeing(same).argmax())
+                    s, e, g = best_run(same[top])
+                    found.append((int(d[x + top]) + s, e - s, g))
+            start, length, agree = max(found, key=lambda f: f[2])
+            if agree >= need and agree > best.get(k, (0,))[0]:
+                best[k] = agree, start, length
+                whole[k] = agree == len(t)
+
 
 def blocks(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> Iterator[Benchmark]:
     """The items in blocks of about `block_tokens` tokens, one after the other; one block at a time is in the driver."""
     held: list = []
+    size = 0
     for r in benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit(""))).where("item_id is not null").toLocalIterator():
         if len(t := token_hashes(r[1])) >= LEAST:
             held.append((r[0], t))
-        if sum(len(t) for _, t in held[-1:]) and sum(len(t) for _, t in held) >= block_tokens:
+            size += len(t)
+        if size >= block_tokens:
             yield Benchmark(held)
-            held = []
+            held, size = [], 0
     if held:
         yield Benchmark(held)
 
 
+def publish(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> list[str]:
+    """Compile the benchmark into files that all tasks can map; their names."""
+    return [published(benchmark.sparkSession, b.to_bytes(), "benchmark") for b in blocks(benchmark, block_tokens)]
+
+
+_mapped: dict[str, Benchmark] = {}
+
+
+def _block(name: str) -> Benchmark:
+    if name not in _mapped:
+        if len(_mapped) > 4096:  # other tables' benchmarks
+            _mapped.clear()
+        _mapped[name] = Benchmark.mapped(local_file(name))
+    return _mapped[name]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, item_id, agree, first_token, run_tokens: one row for each document and item leaked into it."""
-    spark = docs.sparkSession
-    text = id_and_text(docs)
-    schema = "doc_id long, item_id long, agree int, first_token int, run_tokens int"
-    out = None
-    for block in blocks(benchmark, block_tokens):
-        shared = spark.sparkContext.broadcast(block)
+    """doc_id, item_id, agree, first_token, run_tokens: one row for each document and item leaked into it. One pass over the documents."""
+    names = publish(benchmark, block_tokens)
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            items = shared.value
-            for pdf in batches:
-                rows = [(d, *x) for d, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"]) for x in items.leaks(token_hashes(t))]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "agree", "first_token", "run_tokens"]).astype({"doc_id": "Int64", "item_id": "int64", "agree": "int32", "first_token": "int32", "run_tokens": "int32"})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
+                tokens = token_hashes(text)
+                rows += [(doc_id, *x) for name in names for x in _block(name).leaks(tokens)]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "agree", "first_token", "run_tokens"]).astype({"doc_id": "Int64", "item_id": "int64", "agree": "int32", "first_token": "int32", "run_tokens": "int32"})
 
-        found = text.mapInPandas(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    return id_and_text(docs).mapInPandas(run, "doc_id long, item_id long, agree int, first_token int, run_tokens int")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The documents into which no item leaked, all columns kept. Each row is judged by its own text where it lies, block after block of the
-    benchmark, so no text moves between tasks and rows that share a doc_id, or have none, are told apart."""
+    """The documents into which no item leaked, all columns kept. Each row is judged by its own text where it lies, so no text moves between
+    tasks and rows that share a doc_id, or have none, are told apart."""
     at = docs.columns.index("text")
-    for block in blocks(benchmark, block_tokens):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    names = publish(benchmark, block_tokens)
 
-        def keep(batches, shared=shared):
-            import pyarrow as pa
+    def keep(batches):
+        import pyarrow as pa
 
-            items = shared.value
-            for batch in batches:
-                clean = [not items.leaks(token_hashes(t or "")) for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+        for batch in batches:
+            clean = []
+            for text in batch.column(at).to_pylist():
+                tokens = token_hashes(text or "")
+                clean.append(not any(_block(name).leaks(tokens) for name in names))
+            yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    return docs.mapInArrow(keep, docs.schema) if names else docs

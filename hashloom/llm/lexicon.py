@@ -10,10 +10,8 @@ library does by default; repeated rows and null doc_ids are kept as they are; ot
 
 from __future__ import annotations
 
-import hashlib
 import os
 import struct
-import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from . import bpe
-from .shared import id_and_text
+from .shared import id_and_text, local_file, published
 
 #: A word is frequent if it stands at least once in so many characters of the corpus (twice at least). The bound on words keeps the file
 #: and the driver's list small at any size; words beyond it are merged exactly.
@@ -212,10 +210,7 @@ def _coder(name: str, path: str) -> bpe.PieceEncoder:
 
 
 def _made(name: str, path: str) -> bpe.PieceEncoder:
-    from pyspark import SparkFiles
-
-    file = SparkFiles.get(name)
-    lexicon, vocab, merge = Lexicon(file), bpe.vocabulary(path), bpe.merger(path)
+    lexicon, vocab, merge = Lexicon(local_file(name)), bpe.vocabulary(path), bpe.merger(path)
 
     def learn(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids from the lexicon; unseen words are merged."""
@@ -224,12 +219,15 @@ def _made(name: str, path: str) -> bpe.PieceEncoder:
         known = np.flatnonzero(number >= 0)
         unseen = np.flatnonzero(number < 0)
         flat, n = merge.many([raw[k] for k in unseen])
-        source = np.concatenate((lexicon.ids, flat))
-        begin, size = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
-        begin[known], size[known] = lexicon.begin[number[known]], lexicon.begin[number[known] + 1] - lexicon.begin[number[known]]
-        begin[unseen], size[unseen] = len(lexicon.ids) + np.cumsum(n) - n, n
+        begin, size = lexicon.begin[number[known]], np.zeros(len(raw), np.int64)
+        size[known], size[unseen] = lexicon.begin[number[known] + 1] - begin, n
         end = np.cumsum(size)
-        return source[np.repeat(begin - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)], size
+        out = np.empty(int(end[-1]) if len(end) else 0, np.uint32)
+        mine = np.repeat(number >= 0, size)
+        m = size[known]
+        out[mine] = lexicon.ids[np.repeat(begin - np.cumsum(m) + m, m) + np.arange(int(m.sum()))]
+        out[~mine] = flat
+        return out, size
 
     def whole(text: str) -> list[int]:
         out: list[int] = []
@@ -240,25 +238,9 @@ def _made(name: str, path: str) -> bpe.PieceEncoder:
     return bpe.PieceEncoder(path, learn, whole, limit=500_000)
 
 
-_published: set[tuple[str, str]] = set()
-
-
-def publish(spark, lexicon: bytes) -> str:
-    """Hand the compiled lexicon to all executors; its name there."""
-    name = f"lexicon-{hashlib.sha256(lexicon).hexdigest()[:24]}.matl"
-    key = spark.sparkContext.applicationId, name
-    if key not in _published:
-        file = os.path.join(tempfile.mkdtemp(prefix="hashloom-lexicon-"), name)
-        with open(file, "wb") as f:
-            f.write(lexicon)
-        spark.sparkContext.addFile(file)
-        _published.add(key)
-    return name
-
-
 def _prepared(docs: DataFrame, tokenizer: str | None, words: list[str] | None) -> tuple[str, str]:
     path = tokenizer or bpe.default_path()
-    return path, publish(docs.sparkSession, compile_lexicon(frequent_words(docs, path) if words is None else words, path))
+    return path, published(docs.sparkSession, compile_lexicon(frequent_words(docs, path) if words is None else words, path), "lexicon")
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, words: list[str] | None = None) -> DataFrame:

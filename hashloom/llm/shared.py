@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session; only where it is unset (tests) one of our own."""
+    """The folder that driver and executors share, from the session; where it is unset, one of our own in local mode and an error elsewhere."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="hashloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -43,6 +46,35 @@ def drop_stored(df: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_published: set[tuple[str, str]] = set()
+
+
+def published(spark: SparkSession, data: bytes, label: str) -> str:
+    """Write bytes as a file in the shared folder, from where each executor fetches a copy once; the file's name there (see `local_file`)."""
+    name = f"{label}-{hashlib.sha256(data).hexdigest()[:24]}"
+    key = spark.sparkContext.applicationId, name
+    if key not in _published:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/published-{uuid.uuid4().hex}/{name}")
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        out = fs.create(p, True)
+        try:
+            for at in range(0, len(data), 1 << 24):
+                out.write(bytearray(data[at : at + (1 << 24)]))
+        finally:
+            out.close()
+        spark.sparkContext.addFile(fs.makeQualified(p).toString())
+        _published.add(key)
+    return name
+
+
+def local_file(name: str) -> str:
+    """Path of a published file within a task."""
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(name)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
