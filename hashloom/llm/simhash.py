@@ -11,19 +11,20 @@ a fingerprint and the smallest doc_id of their group, if any; repeated rows shar
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import product, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .graph import components
 from .shared import id_and_text, stored
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints of a tile, about, and tiles of a cell that a task compares with at once: they bound a task's memory.
-TILE, TILES_AT_ONCE = 2048, 4
+TILE, TILES_AT_ONCE = 1 << 14, 1
 
 
 def fingerprint(text: str) -> int:
@@ -120,14 +121,19 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return met.select("own", "others").mapInPandas(compare, "a long, b long")
 
 
-def classes(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """doc_id, fp, component_id of every document."""
+def _marked(docs: DataFrame, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp of every row; fp, root, component_id of every fingerprint). root: the fingerprint that stands for the group."""
     marked = stored(fingerprints(docs), "fingerprints")
     least = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(least.select("fp"), radius, tile))
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(lowest, "root").select("fp", "component_id")
+    return marked, rooted.join(lowest, "root").select("fp", "root", "component_id")
+
+
+def classes(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """doc_id, fp, component_id of every document."""
+    marked, of_fp = _marked(docs, radius, tile)
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -135,14 +141,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group, that of the smallest doc_id, with all its columns. Rows without doc_id stay; of rows that share a
-    doc_id one stays."""
-    found = stored(classes(docs).select("doc_id", "component_id"), "classes")
-    twice = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    gone = found.where("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
+def deduplicated(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: that of the smallest doc_id (rows without one come last), then of the
+    smallest fingerprint. Rows are told apart by doc_id and fingerprint, so rows that share a doc_id but not a text are judged each; of rows
+    alike in both one stays."""
+    marked, of_fp = _marked(docs, radius, tile)
+    rows = marked.groupBy("doc_id", "fp").agg(F.count("*").alias("n")).join(of_fp.select("fp", "root"), "fp")
+    rows = stored(rows.select("root", "n", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp").alias("key")), "rows")
+    first = rows.groupBy("root").agg(F.min("key").alias("first"))
+    judged = rows.join(first, "root")
     # what goes grows with the corpus, so it is merged with the documents and never broadcast
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")
+    gone = judged.where(~F.col("key").eqNullSafe(F.col("first"))).select("key.doc_id", "key.fp")
+    twice = judged.where(F.col("key").eqNullSafe(F.col("first")) & (F.col("n") > 1)).select("key.doc_id", "key.fp")
+    mark = f"_fp_{uuid.uuid4().hex}"
+    own = _with_fingerprint(docs, mark)
+    same = lambda keys: own["doc_id"].cast("long").eqNullSafe(keys["doc_id"]) & (own[mark] == keys["fp"])
+    kept = own.join(gone.hint("merge"), same(gone), "left_anti")
     if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        return kept.drop(mark)
+    once = kept.join(twice.hint("merge"), same(twice), "left_semi").dropDuplicates(["doc_id", mark])
+    return kept.join(twice.hint("merge"), same(twice), "left_anti").unionByName(once).drop(mark)
+
+
+def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a column of their fingerprints; texts stay in their tasks."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            fp = np.fromiter((fingerprint(t or "") for t in batch.column(at).to_pylist()), np.uint64, batch.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
