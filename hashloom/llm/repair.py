@@ -3,9 +3,10 @@
 A block holds the ids of consecutive documents. Frequent adjacent id pairs are replaced by nonterminals, round after round; the block
 stores the rules, the expansion length of each nonterminal and a directory of its documents, so that one document is decoded without the rest.
 
-Layout of a block, little-endian: magic `RPG1`, u32 base (ids at or above it are nonterminals), u32 rules, u32 symbols, u32 documents;
-rules as u32 pairs; expansion lengths as u32; directory: i64 doc_id, u64 start (ids before it in its part), u32 first symbol, u32 ids,
-each as a column; then the symbols as u32 (zlib is left to the file format around it). No rule spans two documents, so each document is a run of whole symbols.
+Layout of a block, little-endian: magic `RPG2`, u32 base (ids at or above it are nonterminals), u32 rules, u32 symbols, u32 documents, u64
+start (ids before it in its part); then columns, each a u8 width and its numbers in so many bits: the rules' left and right symbols, their
+expansion lengths, the documents' symbols and ids, whether a document has a doc_id, the symbols. The doc_ids are i64, between the last two.
+No rule spans two documents, so each document is a run of whole symbols.
 
 Odd input: a null text is an empty one; an empty text has the end id alone; a null doc_id sorts first and is kept as null;
 repeated rows are separate documents, in the order of their text; other columns are ignored.
@@ -31,7 +32,6 @@ BLOCK_IDS = 1 << 20
 #: The least count of a pair that is replaced, and the least number of its replacements in a round that pays for a rule.
 LEAST, WORTH = 12, 4
 _SLOT_BITS = 20
-_NULL_ID = -(1 << 63)
 
 
 _encoders: dict[str, bpe.PieceEncoder] = {}
@@ -131,7 +131,31 @@ def levels(rules: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def pack(ids: list[np.ndarray], doc_ids: list[int], start: int, vocab: int) -> bytes:
+def packed(numbers: np.ndarray) -> bytes:
+    """A column: the width in bits of its largest number, then all in that width."""
+    width = int(numbers.max()).bit_length() if len(numbers) else 0
+    out = [bytes([width])]
+    for at in range(0, len(numbers) if width else 0, 1 << 16):  # a multiple of eight, so each part ends with a byte
+        bits = np.unpackbits(numbers[at : at + (1 << 16)].astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
+        out.append(np.packbits(bits).tobytes())
+    return b"".join(out)
+
+
+def unpacked(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """The n numbers of a column, and where it ends."""
+    width, at = data[at], at + 1
+    out = np.zeros(n, np.uint32)
+    end = at + (n * width + 7) // 8
+    raw = np.frombuffer(data, np.uint8, end - at, at)
+    for k in range(0, n if width else 0, 1 << 16):
+        some = min(1 << 16, n - k)
+        bits = np.zeros((some, 32), np.uint8)
+        bits[:, 32 - width :] = np.unpackbits(raw[k * width // 8 : (k * width + some * width + 7) // 8], count=some * width).reshape(some, width)
+        out[k : k + some] = np.packbits(bits, axis=1).view(">u4").ravel()
+    return out, end
+
+
+def pack(ids: list[np.ndarray], doc_ids: list[int | None], start: int, vocab: int) -> bytes:
     """A block of documents; `start`: ids before its first document in the partition."""
     n = np.array([len(x) for x in ids], np.uint32)
     seq = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
@@ -141,30 +165,31 @@ def pack(ids: list[np.ndarray], doc_ids: list[int], start: int, vocab: int) -> b
     length = np.ones(vocab + len(rules), np.uint32)
     for lo, hi in levels(rules, vocab):
         length[vocab + lo : vocab + hi] = length[rules[lo:hi, 0]] + length[rules[lo:hi, 1]]
-    first = np.append(0, ends[:-1]).astype(np.uint32)[: len(n)]
-    starts = (start + np.concatenate(([0], np.cumsum(n[:-1], dtype=np.uint64)))).astype(np.uint64) if len(n) else np.zeros(0, np.uint64)
-    head = b"RPG1" + struct.pack("<4I", vocab, len(rules), len(seq), len(n))
-    return b"".join([head, rules.tobytes(), length[vocab:].tobytes(), np.array(doc_ids, np.int64).tobytes(), starts.tobytes(), first.tobytes(), n.tobytes(), seq.tobytes()])
+    head = b"RPG2" + struct.pack("<4IQ", vocab, len(rules), len(seq), len(n), start)
+    known = np.array([d is not None for d in doc_ids], np.uint32)
+    keys = np.array([0 if d is None else d for d in doc_ids], np.int64)
+    return b"".join([head, packed(rules[:, 0]), packed(rules[:, 1]), packed(length[vocab:]), packed(np.diff(ends, prepend=0)), packed(n), packed(known), keys.tobytes(), packed(seq)])
 
 
 class Block:
     """Reader of a block."""
 
     def __init__(self, data: bytes) -> None:
-        if data[:4] != b"RPG1":
+        if data[:4] != b"RPG2":
             raise ValueError("not a block of token ids")
-        self.base, rules, symbols, docs = struct.unpack_from("<4I", data, 4)
-        at = 20
-
-        def column(kind, n):
-            nonlocal at
-            out = np.frombuffer(data, kind, n, at)
-            at += out.nbytes
-            return out
-
-        self.rules, self.length = column("<u4", 2 * rules).reshape(-1, 2), column("<u4", rules)
-        self.doc_ids, self.start = column("<i8", docs), column("<u8", docs)
-        self.first, self.n, self.symbols = column("<u4", docs), column("<u4", docs), column("<u4", symbols)
+        self.base, rules, symbols, docs, start = struct.unpack_from("<4IQ", data, 4)
+        left, at = unpacked(data, 28, rules)
+        right, at = unpacked(data, at, rules)
+        self.rules = np.stack((left, right), axis=1)
+        self.length, at = unpacked(data, at, rules)
+        runs, at = unpacked(data, at, docs)
+        self.n, at = unpacked(data, at, docs)
+        known, at = unpacked(data, at, docs)
+        self.known = known.astype(bool)
+        self.doc_ids = np.frombuffer(data, "<i8", docs, at)
+        self.symbols, _ = unpacked(data, at + 8 * docs, symbols)
+        self.first = np.cumsum(runs, dtype=np.int64) - runs
+        self.start = start + np.cumsum(self.n, dtype=np.int64) - self.n
         self._flat = None
 
     def _expanded(self) -> tuple[np.ndarray, np.ndarray]:
@@ -196,10 +221,10 @@ class Block:
         stop = self.first[k + 1] if k + 1 < len(self.first) else len(self.symbols)
         return self.expand(self.symbols[self.first[k] : stop])
 
-    def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         ids, at = self.expand(self.symbols), 0
-        for doc_id, start, n in zip(self.doc_ids.tolist(), self.start.tolist(), self.n.tolist()):
-            yield doc_id, start, ids[at : at + n]
+        for doc_id, known, start, n in zip(self.doc_ids.tolist(), self.known.tolist(), self.start.tolist(), self.n.tolist()):
+            yield doc_id if known else None, start, ids[at : at + n]
             at += n
 
 
@@ -230,7 +255,7 @@ def write_blocks(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
                         yield block()
                     part, start, seq, size, ids, keys = int(here), 0, 0, 0, [], []
                 texts = of_part["text"].tolist()
-                keyed = [_NULL_ID if pd.isna(x) else int(x) for x in of_part["doc_id"]]
+                keyed = [None if pd.isna(x) else int(x) for x in of_part["doc_id"]]
                 for at in range(0, len(texts), 256):
                     for key, got in zip(keyed[at : at + 256], enc.batch(texts[at : at + 256])):
                         ids.append(np.append(got, np.uint32(end_id)))
@@ -249,7 +274,7 @@ def write_blocks(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
 def _part(keys: DataFrame, n: int):
     """Column: which of n ranges of doc_id a row falls in. The bounds come from the ids alone (a range exchange would sample whole rows),
     as a summary of fixed size; a binary search in them finds the range. Rows without doc_id come first."""
-    bounds = sorted({int(b) for b in keys.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n)}) if n > 1 else []
+    bounds = sorted({min(int(b), (1 << 63) - 1) for b in keys.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n)}) if n > 1 else []
     if not bounds:
         return F.lit(0)
     steps, listed = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)], F.array(*map(F.lit, bounds))
@@ -270,8 +295,8 @@ def read_documents(blocks: DataFrame) -> DataFrame:
             for part, data in zip(pdf["part"].tolist(), pdf["block"]):
                 b = Block(bytes(data))
                 crc = np.fromiter((zlib.crc32(x) for _, _, x in b.documents()), np.int64, len(b.n))
-                key = pd.arrays.IntegerArray(b.doc_ids.astype(np.int64), b.doc_ids == _NULL_ID)
-                yield pd.DataFrame({"doc_id": key, "start": b.start.astype(np.int64) + before[part], "n_tokens": b.n.astype(np.int64), "ids_crc32": crc})
+                key = pd.arrays.IntegerArray(b.doc_ids.astype(np.int64), ~b.known)
+                yield pd.DataFrame({"doc_id": key, "start": b.start + before[part], "n_tokens": b.n.astype(np.int64), "ids_crc32": crc})
 
     return blocks.select("part", "block").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
