@@ -223,7 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "columns": [sorted(column[f] for f in _features(t, known) if f in column) for t in pdf["text"]]})
 
-    got = sorted(sample.mapInPandas(mark, "doc_id long, toxic int, columns array<int>").collect(), key=lambda r: (r["doc_id"], r["columns"]))
+    # one row a labelled document, whose number `rows` bounds: of rows that repeat a doc_id the least list stands
+    marked = sample.mapInPandas(mark, "doc_id long, toxic int, columns array<int>").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("columns").alias("columns"))
+    got = sorted(marked.collect(), key=lambda r: r["doc_id"])
     x = np.zeros((len(got), len(lean)), np.float32)
     for i, r in enumerate(got):
         x[i, r["columns"]] = 1
