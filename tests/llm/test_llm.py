@@ -89,7 +89,7 @@ def test_shards(docs, limit):
 
 def test_shards_of_nothing_and_written(empty, docs, spark, tmp_path):
     assert sharding.assign(empty).count() == 0
-    sharding.write(docs, str(tmp_path / "out"), 50_000)
+    sharding.write(docs.withColumn("_key", F.lit(1)).withColumn("shard", F.lit("own")), str(tmp_path / "out"), 50_000)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(TEXTS) + 2
 
 
@@ -259,6 +259,66 @@ def test_a_rewritten_surrounding_hides_no_leak():
     assert [(i, a) for i, a, _, _ in decontam.Benchmark([(5, t)]).leaks(doc)] == [(5, 16)]
 
 
+def leaks_by_hand(items, tokens):
+    """Every run of every diagonal of every item: the most agreeing places of a run that has its share."""
+    out = {}
+    for k, t in items:
+        best = 0
+        for d in range(-len(t) + 1, len(tokens)):
+            lo, hi = max(0, -d), min(len(t), len(tokens) - d)
+            best = max(best, runs_by_hand(tokens[d + lo : d + hi] == t[lo:hi])[0])
+        if len(t) >= decontam.LEAST and best >= min(decontam.AGREE, decontam.SHARE * len(t)):
+            out[k] = best
+    return out
+
+
+@pytest.mark.parametrize("words,most", [(4000, 1 << 20), (4000, 7), (12, 50), (2, 40)])
+def test_leaks_against_all_diagonals(words, most):
+    rng = np.random.default_rng(words)
+    items = [(k, rng.integers(0, words, n).astype(np.uint64)) for k, n in enumerate((60, 45, 30, 20, 16, 12, 9, 6, 5, 4))]
+    bench = decontam.Benchmark([x for x in items if len(x[1]) >= decontam.LEAST])
+    hits = 0
+    for _ in range(12):
+        parts = []
+        for _ in range(3):
+            t = items[rng.integers(0, len(items))][1].copy()
+            t[rng.random(len(t)) < rng.choice([0, 0.1, 0.2, 0.3])] = words + 1
+            at = rng.integers(0, len(t))
+            parts += [rng.integers(0, words, 15).astype(np.uint64), t[at:] if rng.random() < 0.3 else t]
+        tokens = np.concatenate(parts)
+        want = leaks_by_hand(items, tokens)
+        got = bench.leaks(tokens, most)
+        assert {i: a for i, a, _, _ in got} == want
+        for i, a, first, n in got:
+            t = dict(items)[i]
+            at = [s for s in range(len(t) - n + 1) if (tokens[first : first + n] == t[s : s + n]).sum() == a]
+            assert at and 5 * a >= 4 * n
+        hits += len(want)
+    assert hits > 12
+
+
+def test_more_text_removes_no_leak():
+    t = np.arange(1, 52, dtype=np.uint64)
+    doc = t.copy()
+    doc[13:19] += 1000
+    doc[32:38] += 1000
+    assert [r[0] for r in decontam.Benchmark([(5, t)]).leaks(doc)] == [5]
+
+
+def test_a_text_of_one_word_takes_bounded_memory(tmp_path):
+    import resource
+
+    one = np.full(400_000, 7, np.uint64)
+    item = np.full(60, 7, np.uint64)
+    item[::20] = 8
+    (tmp_path / "b").write_bytes(decontam.Benchmark([(1, item), (2, np.full(60, 7, np.uint64))]).to_bytes())
+    bench = decontam.Benchmark.mapped(str(tmp_path / "b"))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = bench.leaks(one)
+    assert [(i, a) for i, a, _, _ in got] == [(1, 57), (2, 60)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # KB
+
+
 # --- op4, op7
 
 
@@ -348,6 +408,27 @@ def test_repair_is_exact_and_random_access():
         repair.pack([np.array([60_000], np.uint32)], [0], 0, 50_257)
 
 
+def test_every_doc_id_comes_back(spark):
+    rows = [(-(1 << 63), "least"), (None, "none"), ((1 << 63) - 1, "most"), (0, None)]
+    got = sorted(rows_of(repair.token_output(spark.createDataFrame(rows, "doc_id long, text string"))), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, -(1 << 63), 0, (1 << 63) - 1]
+
+
+def test_columns_of_bits():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 7, 8, 65_536, 65_537, 70_001):
+        for top in (1, 2, 3, 255, 65_536, (1 << 32)):
+            x = rng.integers(0, top, n).astype(np.uint32)
+            data = b"zz" + repair.packed(x) + b"end"
+            got, at = repair.unpacked(data, 2, n)
+            assert (got == x).all() and data[at:] == b"end"
+
+
+def test_blocks_are_smaller_than_plain_ids(spark):
+    blocks = repair.write_blocks(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), partitions=1).agg(F.sum("ids"), F.sum(F.length("block"))).first()
+    assert blocks[1] < 2 * blocks[0]  # 16 bits an id would do for this vocabulary
+
+
 def test_repair_goes_on_until_no_pair_is_frequent():
     from collections import Counter
 
@@ -392,6 +473,45 @@ def test_boxes():
         media.mux(b"x")
 
 
+def test_foreign_bytes(spark):
+    import struct
+
+    good = media.mux(b"a" * 576 * 30)
+    rng = random.Random(1)
+    bad = [b"", b"junk", bytes(4), good[:200], b"\xff" * 5000, struct.pack(">I4s", 8, b"moov") * 3]
+    nested = b""
+    for _ in range(3000):
+        nested = struct.pack(">I4s", len(nested) + 8, b"moov") + nested
+    bad.append(nested)
+    at = good.index(b"stsz")
+    bad.append(good[: at + 8] + struct.pack(">II", 0, 1 << 31) + good[at + 16 :])  # more samples than bytes
+    bad.append(good[: at + 8] + struct.pack(">II", 1, 0xFFFFFFFF) + good[at + 16 :])
+    for _ in range(300):
+        b = bytearray(good[: len(good) - 576 * 29])
+        for _ in range(rng.randint(1, 6)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        bad.append(bytes(b))
+    rows = [(i, 5, b) for i, b in enumerate(bad)] + [(None, None, None), (1000, 17280, good), (1000, 17280, good)]
+    got = {r["doc_id"]: r for r in rows_of(media.features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")))}
+    for i in range(9):
+        assert got[i]["feature"] is None and got[i]["codec"] is None and got[i]["media_bytes"] == len(bad[i])
+        assert got[i]["media_sha256"] == hashlib.sha256(bad[i]).hexdigest()
+    assert got[None]["media_bytes"] is None and got[1000]["payload_sha256"] == hashlib.sha256(b"a" * 576 * 30).hexdigest()
+
+
+def test_features_of_a_container(docs):
+    for r in rows_of(media.features(media.containers(docs))):
+        raw = (dict(originals())[r["doc_id"]] or "").encode()
+        data = media.mux(raw.ljust(max(1, -(-len(raw) // 576)) * 576, b"\xff"))
+        n = r["payload_bytes"] // 576
+        first = data.index(b"mdat") + 4
+        keys = [(first + 576 * k, 576) for k in range(0, n, 12)]
+        assert [(k["offset"], k["size"]) for k in r["keyframes"]] == keys
+        assert (r["media_bytes"], r["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+        ranges = zlib.crc32("".join(f"{a}:{b};" for a, b in keys).encode())
+        assert r["feature"] == f"codec=raw;duration={n / 25:.2f};samples={n};keyframes={len(keys)};ranges={ranges:08x}"
+
+
 # --- op6
 
 
@@ -431,7 +551,19 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
     kept = sorted(str(r["doc_id"]) for r in rows_of(simhash.deduplicated(docs)))
     assert kept == sorted({str(i) for i in least.values()} | {"None"})
-    assert simhash.deduplicated(docs).columns == docs.columns
+    assert simhash.deduplicated(docs).columns == docs.columns and simhash.deduplicated(empty).count() == 0
+
+
+def test_rows_that_share_a_doc_id_are_judged_by_their_texts(spark):
+    rng = random.Random(2)
+    made = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(80))
+    a, b, z, q = (made() for _ in range(4))
+    left = lambda rows: sorted(((r["doc_id"], r["text"]) for r in rows_of(simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")))), key=str)
+    assert left([(1, a), (7, a), (7, z), (9, q)]) == sorted([(1, a), (7, z), (9, q)], key=str)
+    assert left([(7, b), (7, z)]) == sorted([(7, b), (7, z)], key=str)
+    assert left([(7, b)] * 4 + [(7, z)] * 3) == sorted([(7, b), (7, z)], key=str)
+    assert left([(None, a), (None, a), (None, z), (3, a)]) == sorted([(None, z), (3, a)], key=str)
+    assert left([(None, a), (None, a), (None, None), (5, None), (6, "")]) == sorted([(None, a), (5, None)], key=str)
 
 
 @pytest.mark.parametrize("tile", [3, 50])
@@ -657,3 +789,37 @@ def test_pipeline_against_brute_force(spark):
             new = secret_scan.redact(t, limits)
             assert new != t and got[i]["decoded_sha256"] == hashlib.sha256(new.encode()).hexdigest()
     assert same > 100
+
+
+def test_pipeline_stages_on_odd_tables(spark, docs, empty, tmp_path, toxic):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    made = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60))
+    one = made()
+    kind = "doc_id long, text string, lang string, source string, n_chars long, fp long, tokens int, spans string, _fp int"
+    row = lambda i, t: (i, t, "en", "s", None if t is None else len(t), 1, 2, "x", 3)
+    rows = [row(i, t) for i, t in enumerate(TEXTS)]
+    rows += [row(20, one), row(21, one), row(20, made()), row(20, one), row(None, made()), row(None, one), row(None, None)]
+    odd = spark.createDataFrame(rows, kind)
+    tables = {"odd": odd, "empty": odd.where("false")}
+    bench = spark.createDataFrame([(1, one), (None, one), (2, None)], "item_id long, text string")
+    for name, d in tables.items():
+        for b in (bench, bench.where("false")):
+            where = tmp_path / f"{name}-{b.count()}"
+            d.write.parquet(f"{where}/documents.parquet")
+            b.write.parquet(f"{where}/benchmark.parquet")
+            toxic[1].where("doc_id < 20 or doc_id is null").write.parquet(f"{where}/labels.parquet")
+            got = d
+            for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+                got = stage(spark, got, str(where))
+                if k < 4:
+                    assert got.schema == d.schema or [f.name for f in got.schema] == d.columns
+                if k == 1 and name == "odd":
+                    kept = [r["text"] for r in rows_of(got)]
+                    # each of the texts stays once: the two of doc_id 20, the one of no doc_id, and one of the empty ones
+                    assert kept.count(one) == 1 and sum((t or "").strip() == "" for t in kept) == 1 and len(kept) == len(set(kept))
+                if k == 2 and name == "odd":
+                    assert (one in [r["text"] for r in rows_of(got)]) == (b.count() == 0)
+            assert sorted(got.columns) == ["decoded_sha256", "doc_id", "ids_sha256", "n_tokens"]
+            assert got.count() > 10 if name == "odd" else got.count() == 0
