@@ -723,28 +723,146 @@ def test_redaction(spark):
 # --- op10
 
 
+NOTICES = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+}
+STYLES = (lambda t: t, lambda t: "# " + t.replace("\n", "\n# "), lambda t: "/*\n * " + t.replace("\n", "\n * ") + "\n */", lambda t: "// " + t.replace("\n", "\n// "), lambda t: '"""\n' + t + '\n"""', lambda t: "<!--\n" + t + "\n-->", lambda t: ";; " + t.replace("\n", "\n;; "))
+
+
 def test_licences_follow_the_rule(spark, docs, empty):
-    texts = ["Licensed under the Apache License, Version 2.0.", "a\nReleased under the MIT License.\nmy driver's license", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "all rights reserved", "permission denied by the license office", "", LONG + "\nLicensed under the MIT License.", "Mozilla Public License Version 2.0\n\nBSD 3-Clause License"]
-    frame = spark.createDataFrame([*enumerate(texts), (99, None), (None, texts[0])], "doc_id long, text string")
+    texts = ["Licensed under the Apache License, Version 2.0.", "a\n\nReleased under the MIT License.\nmy driver's license", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "all rights reserved", "permission denied by the license office", "", LONG + "\nLicensed under the MIT License.", "Mozilla Public License Version 2.0\n\nBSD 3-Clause License", "it's \\ 'quoted' under the mit license\r\n\r\n  \n\nsoftware", "Dual licensed under the MIT License and the Apache License, Version 2.0.", "this is not released under the MIT license"]
+    want = ["Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC", "", "", "", "MIT", "BSD,MPL-2.0", "MIT", "Apache-2.0,MIT", ""]
+    wrapped = [(f, style("Copyright 2020 Someone\n\n" + t)) for f, t in NOTICES.items() for style in STYLES]
+    more = [t for _, t in wrapped]
+    frame = spark.createDataFrame([*enumerate([*texts, *more]), (999, None), (None, texts[0])], "doc_id long, text string")
     got = {r["doc_id"]: r for r in rows_of(licenses.families(frame))}
-    assert [got[i]["families"] for i in range(9)] == ["Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC", "", "", "", "MIT", "BSD,MPL-2.0"]
-    assert got[99]["families"] == "" and got[None]["families"] == "Apache-2.0" and got[1]["places"] == "1:MIT"
-    for i, t in enumerate(texts):
-        want = []
-        for n, p in enumerate(t.split("\n")):
-            if re.search(licenses.ANCHORS, p.lower()):
-                f, q, c = licenses.classify(p)
-                if f != licenses.UNKNOWN and q >= licenses.CERTAIN and c >= licenses.CONTAINED:
-                    want.append(f"{n}:{f}")
-        assert got[i]["places"] == ",".join(want)
+    assert [got[i]["families"] for i in range(len(texts))] == want
+    assert [got[i + len(texts)]["families"] for i in range(len(wrapped))] == [f for f, _ in wrapped]
+    assert got[999]["families"] == "" and got[None]["families"] == "Apache-2.0" and got[1]["places"] == "1:MIT"
+    for i, t in enumerate([*texts, *more]):
+        assert got[i]["places"] == ",".join(f"{k}:{f}" for k, f in licenses.families_of(t)), t
     assert licenses.families(empty).count() == 0 and licenses.families(docs).count() == len(TEXTS) + 2
+    plan = licenses.families(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan.replace("Exchange RoundRobin", ""))
 
 
-def test_every_template_has_an_anchor_and_is_recognised():
+def test_no_template_is_found_without_an_anchor():
+    for family, found in licenses._template_grams():
+        without = [g for g in found if not re.search(rf"(?:^| )(?:{licenses.ANCHORS})", g)]
+        assert len(without) < licenses.CONTAINED * len(found), (family, found)
     for family, phrases in licenses.TEMPLATES.items():
         for p in phrases:
-            assert re.search(licenses.ANCHORS, p)
-            assert licenses.classify(f"this file is licensed under the {p}")[0] == family
+            assert len(p.split()) <= licenses.STEP
+            assert family in licenses.classify(licenses.words(f"zz this file is {p} qq rr"))
+
+
+#: Written apart from the templates and the training phrases. The first list was looked at while the training contexts were broadened (15 of
+#: its 24 notices were found before), the second one only after that.
+SEEN = [
+    ("Apache-2.0", "All code in this repository is made available under version 2.0 of the Apache License; see the Apache License, Version 2.0, for details."),
+    ("Apache-2.0", "Project license: Apache License 2.0 (SPDX-License-Identifier: Apache-2.0)"),
+    ("Apache-2.0", "You can redistribute the tool under the Apache Software License 2.0 if you keep the notice."),
+    ("MIT", "The plugin is open source software licensed under the MIT license."),
+    ("MIT", "## License\nMIT License\n\nCopyright (c) 2018 J. Doe"),
+    ("MIT", "Das Programm steht unter der Lizenz: the MIT License."),
+    ("MIT", "jQuery-like helper, (c) 2011, MIT licensed"),
+    ("GPL-2.0", "distributed under the GNU General Public License, version 2, without any warranty"),
+    ("GPL-2.0", "may be copied only under the terms of the GNU General Public License version 2 as published by the Free Software Foundation, see COPYING"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("GPL-3.0", "The firmware is free software and comes with the GNU General Public License, Version 3"),
+    ("GPL-3.0", "# SPDX-License-Identifier: GPL-3.0-only\nimport sys"),
+    ("LGPL", "The library may be linked under the GNU Lesser General Public License."),
+    ("AGPL-3.0", "The server part is covered by the GNU Affero General Public License; commercial terms on request."),
+    ("BSD", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD", "numlib is distributed with the 3-clause BSD license text; in short: the BSD 3-Clause License."),
+    ("MPL-2.0", "Contributions are accepted under the Mozilla Public License, version 2.0."),
+    ("ISC", "Code: ISC License (ISC), (c) the contributors"),
+    ("EPL-2.0", "released together with its tests under the Eclipse Public License 2.0"),
+    ("CC-BY", "Text and figures: Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA", "Content is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply."),
+    ("CC-BY-NC", "Photos: Creative Commons Attribution-NonCommercial 4.0"),
+    ("CC0", "The data set is dedicated to everyone: CC0 1.0 Universal Public Domain Dedication."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\nAnyone is free to copy it."),
+    *(("", t) for t in (
+        "He renewed his driving licence and paid the fee.", "The software costs 40 euros a seat, license included.", "A license is a grant of permission; licences differ from contracts.",
+        "Permission to enter the building must be requested in writing.", "The Apache were a people of the plains.", "MIT researchers presented new software at the conference.", "All rights reserved. No part may be reproduced without permission.",
+        "GNU is a recursive acronym.", "Version 2 of the manual replaces version 1.", "Mozilla released a new browser version on Tuesday.", "An eclipse of the sun will be visible to the public.", "The committee discussed commons, parks and public domain land.",
+        "Redistribution of income was the main topic.", "Under the following conditions the refund is granted: the ticket is unused.", "This product is proprietary; the license agreement forbids copying.", "By using the software you agree to the terms and conditions of use.",
+        "The court held that the license had been terminated.", "Our licensed therapists provide counselling.", "The package is not released under the MIT license.", "The vendor moved away; the code is no longer under the Apache License, Version 2.0.",
+        "Copyright 2010 by the estate.", "The general public is admitted free of charge.", "Any person obtaining a copy of the key must sign.", "Source and binary forms of the asteroid family were compared.",
+    )),
+]
+
+
+UNSEEN = [
+    ("Apache-2.0", "Copyright The Foo Authors. Use is subject to the Apache License, Version 2.0, a copy of which ships as LICENSE.txt."),
+    ("Apache-2.0", "pkg: foo\nlicense: Apache License v2.0\nhomepage: http://foo.example"),
+    ("Apache-2.0", "El código se publica con la licencia Apache License, Version 2.0."),
+    ("MIT", "Feel free to fork it, it is under the MIT License, so go ahead."),
+    ("MIT", "Released under the terms of the MIT License by the same people who wrote the first library."),
+    ("MIT", "// Dependencies: none. License: SPDX-License-Identifier: MIT"),
+    ("GPL-2.0", "The driver module carries GNU General Public License version 2 and later."),
+    ("GPL-2.0", "Licensed under the GPLv2 license, contact us for exceptions"),
+    ("GPL-3.0", "Everything in src/ falls under the GNU General Public License v3."),
+    ("GPL-3.0", "Ce logiciel est distribué sous la GNU General Public License, version 3."),
+    ("LGPL", "Linking is allowed as the GNU Lesser General Public License says."),
+    ("BSD", "We chose the 2-clause text: BSD 2-Clause License, simplified."),
+    ("BSD", "* Redistributions in binary form must reproduce the above\n* copyright notice, this list of conditions and the following disclaimer\n* in the documentation."),
+    ("MPL-2.0", "-- This Source Code Form is subject to the terms of the\n-- Mozilla Public License, v. 2.0."),
+    ("EPL-2.0", "All plug-ins use the Eclipse Public License, Version 2.0, as their terms."),
+    ("CC-BY", "Figures may be reused, licensed under CC BY 4.0, with credit."),
+    ("CC-BY-SA", "Map data licensed under CC BY-SA 2.0 by the contributors"),
+    ("CC-BY-NC", "The lecture notes are licensed under CC BY-NC 3.0."),
+    ("CC0", "Icons: licensed under CC0 1.0, no attribution needed"),
+    ("Unlicense", "This is the work of many; it is given away under The Unlicense."),
+    *(("", t) for t in (
+        "Her license to practise medicine was issued in 1998.", "The museum is free and open to the public in version two of the plan.", "He sold a software license to the university.", "The Mozilla Foundation is a non-profit.", "Copyright law protects the author of the work.",
+        "Permission was granted by the city to use the hall free of charge.", "GNU tools were installed on the server.", "MIT is a private university in Cambridge.", "Creative people share the commons.", "Under the terms of the contract the rent is due monthly.",
+        "This module is not under the BSD license.", "Rather than the MIT License, they wrote their own terms.", "The general conditions apply to all software purchases.", "A fishing licence costs less than a hunting licence.", "Redistribution is forbidden without written permission.",
+        "The public library has source documents in binary notation.", "Apache helicopters flew over the base.", "See the license file for the terms of use of the service.", "An unlicensed driver caused the accident.", "All materials are copyrighted and must not be copied.",
+    )),
+]
+
+
+@pytest.mark.parametrize("texts", [SEEN, UNSEEN])
+def test_licences_of_texts_not_made_from_templates(texts):
+    got = [{f for _, f in licenses.families_of(t)} for _, t in texts]
+    right = sum(w in g for (w, _), g in zip(texts, got) if w)
+    named, false = sum(map(len, got)), sum(len(g - {w}) for (w, _), g in zip(texts, got))
+    print(right, named, false, [(w, g, t) for (w, t), g in zip(texts, got) if g != ({w} if w else set())])
+    assert right / sum(1 for w, _ in texts if w) >= 0.9 and 1 - false / named >= 0.9
 
 
 # --- registry and pipeline
