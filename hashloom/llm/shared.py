@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 
@@ -35,15 +36,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_OWN = re.compile(r"/[a-z][a-z0-9-]*-[0-9a-f]{32}$")
+
+
 def drop_stored(df: DataFrame) -> None:
-    """Delete the folders that `stored` tables under `df` were written to. Call it once `df` is no longer needed."""
+    """Delete the folders that `stored` made for tables `df` reads; inputs and whatever others wrote stay, wherever they lie. Call it once
+    `df` and what was derived from it are written or no longer needed."""
     spark = df.sparkSession
-    root = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    root = root.getFileSystem(conf).makeQualified(root)
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if root.removeprefix("file:").lstrip("/") in folder:
-            p = jvm.org.apache.hadoop.fs.Path(folder)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        p = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = p.getFileSystem(conf)
+        p = fs.makeQualified(p)
+        if _OWN.search(folder) and p.getParent().equals(root):
+            fs.delete(p, True)
 
 
 _published: set[tuple[str, str]] = set()
