@@ -31,6 +31,19 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("name")
     c.add_argument("tables")
     c.add_argument("--rows", type=int, default=20)
+    c = sub.add_parser("build", help="build an index from a Parquet table of vec_id, embedding")
+    c.add_argument("vectors")
+    c.add_argument("index")
+    c.add_argument("--bits", type=int, default=16)
+    c.add_argument("--sample", type=int, default=4096, help="vectors that the encoder is trained on")
+    c.add_argument("--epochs", type=int, default=30)
+    c.add_argument("--partitions", type=int, default=200)
+    c = sub.add_parser("search", help="search a built index for the rows of a Parquet table of qid, embedding")
+    c.add_argument("index")
+    c.add_argument("queries")
+    c.add_argument("out")
+    c.add_argument("--config", help="JSON file with settings")
+    c.add_argument("--set", action="append", default=[], metavar="NAME=VALUE", help="a setting; the last one wins")
     a = p.parse_args(argv)
     from .operators import calibrate
     from .sources import tables, vector_files
@@ -46,6 +59,22 @@ def main(argv: list[str] | None = None) -> None:
         calibrate.sample(spark.read.parquet(a.path), a.n).write.mode("overwrite").parquet(a.out)
     elif a.command == "truth":
         tables.read_truth_json(spark, a.path, a.metric, a.n_vectors).write.mode("overwrite").parquet(a.out)
+    elif a.command == "build":
+        from .operators.cluster import Policy
+        from .plans import search, storage
+
+        vectors = spark.read.parquet(a.vectors)
+        layers = search.trained_layers(vectors, a.bits, a.sample, epochs=a.epochs)
+        print(search.build(vectors, layers, Policy(), cut=storage.reliable).write(a.index, a.partitions))
+    elif a.command == "search":
+        from .plans import search
+
+        ix = search.Index.load(spark, a.index)
+        bits = len(ix.thr.first()["thr"])
+        settings = [f"bits={bits}", *a.set]
+        cfg = tables.config_file(spark, a.config, search.SearchConfig, settings) if a.config else tables.config_text("{}", search.SearchConfig, settings)
+        find = search.search if ix.members is None else search.search_clustered
+        find(ix, spark.read.parquet(a.queries), cfg).write.mode("overwrite").parquet(a.out)
     else:
         from .queries import REGISTRY
 

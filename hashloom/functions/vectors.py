@@ -52,9 +52,9 @@ def clipped_u8(v: Column) -> Column:
     return F.transform(v, lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(255.0)).cast("smallint"))
 
 
-def l2sq_by_norms(a: Column, b: Column) -> Column:
-    """Squared distance from norms and the inner product, at least 0: for pairs whose norms are at hand."""
-    return F.greatest(dot(a, a) + dot(b, b) - F.lit(2.0) * dot(a, b), F.lit(0.0))
+def l2sq_of_norms(aa: Column, bb: Column, ab: Column) -> Column:
+    """Squared distance from squared norms and the inner product, at least 0: norms are computed once a row, not once a pair."""
+    return F.greatest(aa + bb - F.lit(2.0) * ab, F.lit(0.0))
 
 
 #: Metric name -> distance of two columns; smaller is nearer (inner products are negated).

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.quantiles import q_half_up, q_linear_int
 from ..functions.vectors import packed_bits
+from . import quantile
 
 
 def exploded(encoded: DataFrame, *keys: str, logits: str = "logits") -> DataFrame:
@@ -13,15 +14,18 @@ def exploded(encoded: DataFrame, *keys: str, logits: str = "logits") -> DataFram
 
 
 def thresholds(encoded: DataFrame) -> DataFrame:
-    """One row: thr, the exact median of each logit."""
-    each = exploded(encoded).groupBy("k").agg(F.percentile("x", F.lit(0.5)).alias("t"))
+    """One row: thr, the exact median of each logit. A table of up to quantile.SMALL rows is ranked whole in one step (a look at so many rows
+    tells); a larger one in the two passes of quantile.exact, with the same result."""
+    x = exploded(encoded)
+    small = encoded.select(F.lit(1)).limit(quantile.SMALL + 1).count() <= quantile.SMALL
+    each = x.groupBy("k").agg(F.percentile("x", F.lit(0.5)).alias("t")) if small else quantile.exact(x, ["k"], F.col("x"), {"t": 0.5})
     return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda s: s["t"]).alias("thr"))
 
 
 def windowed_thresholds(encoded: DataFrame, window_rows: int, groups: int) -> DataFrame:
     """grp, k, thr: the medians within each of the first windows of ids. Raises if a window has no rows."""
     first = encoded.where(F.col("vec_id") < window_rows * groups).withColumn("grp", F.floor(F.col("vec_id") / window_rows))
-    out = exploded(first, "grp").groupBy("grp", "k").agg(F.percentile("x", F.lit(0.5)).alias("thr"))
+    out = quantile.exact(exploded(first, "grp"), ["grp", "k"], F.col("x"), {"thr": 0.5})
     seen = first.agg(F.count_distinct("grp").alias("n")).first()["n"]
     if seen < groups:
         raise ValueError(f"{groups - seen} of {groups} windows are empty")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.vectors import METRICS, doubles, interpolated
+from . import quantile
 
 #: Named transforms of y; any function of a column to a column will do in their place.
 Y_SPACES = {"identity": lambda y: y, "square": lambda y: y * y, "sqrt": lambda y: F.sqrt(F.greatest(y, F.lit(0.0))), "log1p": lambda y: F.log1p(F.greatest(y, F.lit(0.0)))}
@@ -41,7 +42,7 @@ def similar_pairs(vectors: DataFrame, size: int, count: int, keep: float, y_max:
 
 def quantile_report(df: DataFrame, col: str) -> DataFrame:
     """One row: p0, p1, p5, p10, p25, p50, p75, p90, p95, p99, p100."""
-    return df.agg(*(F.percentile(col, F.lit(q / 100)).alias(f"p{q}") for q in (0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100)))
+    return quantile.one_row(df, F.col(col), {f"p{q}": q / 100 for q in (0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100)})
 
 
 def sample(df: DataFrame, n: int, key: str = "vec_id", multiplier: int = 7919, modulus: int = 1_000_003) -> DataFrame:
@@ -62,13 +63,13 @@ def train_val(df: DataFrame, ratio: float, key: str = "vec_id") -> DataFrame:
 
 def slope(p: DataFrame, q: float = 0.995) -> DataFrame:
     """a0: a high quantile of x / y over pairs with y > 1e-12; 0 if there are none."""
-    return p.where("y > 1e-12").agg(F.coalesce(F.percentile(F.col("x") / F.col("y"), F.lit(q)), F.lit(0.0)).alias("a0"))
+    return quantile.one_row(p.where("y > 1e-12"), F.col("x") / F.col("y"), {"a0": q}).select(F.coalesce("a0", F.lit(0.0)).alias("a0"))
 
 
 def shifts(p: DataFrame, a0: DataFrame, targets: Sequence[float] = (0.02, 0.01, 0.005, 0.0025, 0.001), clip: bool = True) -> DataFrame:
     """target, b: the shift at which a share of about `target` exceeds a0 y + b."""
     j = p.crossJoin(F.broadcast(a0))
-    each = j.agg(*(F.percentile(F.col("x") - F.col("a0") * F.col("y"), F.lit(1 - t)).alias(f"t{i}") for i, t in enumerate(targets)))
+    each = quantile.one_row(j, F.col("x") - F.col("a0") * F.col("y"), {f"t{i}": 1 - t for i, t in enumerate(targets)})
     floor = (lambda b: F.greatest(b, F.lit(0.0))) if clip else (lambda b: b)
     return each.select(F.explode(F.array(*(F.struct(F.lit(float(t)).alias("target"), floor(F.col(f"t{i}")).alias("b")) for i, t in enumerate(targets)))).alias("s")).select("s.*")
 
@@ -78,27 +79,34 @@ def picked_shift(sweep: DataFrame, target: float) -> DataFrame:
     return sweep.orderBy(F.desc((F.col("target") == target).cast("int")), F.desc("target")).limit(1)
 
 
-def bound(y: Column, a0: Column, b: Column, y_min: Column | None = None) -> Column:
-    """Upper bound a0 y + b, 0 at least; below y_min (if given) flat at a0 y_min."""
-    ub = F.greatest(a0 * y + b, F.lit(0.0))
-    return ub if y_min is None else F.when(y < y_min, F.greatest(a0 * y_min, F.lit(0.0))).otherwise(ub)
+def bound(y: Column, a0: Column, b: Column) -> Column:
+    """Shifted upper bound a0 y + b, 0 at least."""
+    return F.greatest(a0 * y + b, F.lit(0.0))
+
+
+def patched(y: Column, a0: Column, y_min: Column) -> Column:
+    """Patched upper bound: a0 y, flat at a0 y_min below y_min, 0 at least. It has no shift and doesn't jump."""
+    return F.greatest(a0 * F.greatest(y, y_min), F.lit(0.0))
 
 
 def violations(p: DataFrame, params: DataFrame) -> DataFrame:
     """band (all, low, mid, high by y), n, rate: how often x exceeds its bound; params has a0, b."""
-    cuts = p.agg(F.percentile("y", F.lit(0.1)).alias("lo"), F.percentile("y", F.lit(0.9)).alias("hi"))
+    cuts = quantile.one_row(p, F.col("y"), {"lo": 0.1, "hi": 0.9})
     j = p.crossJoin(F.broadcast(params)).crossJoin(F.broadcast(cuts))
     bad = (F.col("x") > bound(F.col("y"), F.col("a0"), F.col("b")) + F.lit(1e-8)).cast("int")
     band = F.when(F.col("y") <= F.col("lo"), "low").when(F.col("y") > F.col("hi"), "high").otherwise("mid")
     return j.select(F.explode(F.array(F.lit("all"), band)).alias("band"), bad.alias("bad")).groupBy("band").agg(F.count("*").alias("n"), F.avg("bad").alias("rate"))
 
 
-def margin_curve(needed: DataFrame, bins: int, x: str = "x", y: str = "y") -> DataFrame:
-    """knot, n, q95_raw, q99_raw, q95_use, q99_use: bins of equal frequency by x, high quantiles of the margin needed there, made monotone.
-
-    Bin numbers come from ranks over one key order; `needed` has one row a calibration query."""
-    t = needed.withColumn("_t", F.ntile(bins).over(W.orderBy(x, "qid")))
-    each = t.groupBy("_t").agg(F.percentile(x, F.lit(0.5)).alias("knot"), F.count("*").alias("n"), F.percentile(y, F.lit(0.95)).alias("q95_raw"), F.percentile(y, F.lit(0.99)).alias("q99_raw"))
+def margin_curve(needed: DataFrame, bins: int, x: str = "x", y: str = "y", cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """knot, n, q95_raw, q99_raw, q95_use, q99_use: bins of equal frequency by x (ties by qid; the first bins have the rows that are left over),
+    high quantiles of the margin needed there, made monotone. Ranks are found piece by piece; the curve has one row a bin. `cut` ends the lineage of the ranked rows, which are read
+    three times (see storage.reliable)."""
+    total = needed.agg(F.count("*").alias("_n"))
+    t = cut(quantile.numbered(needed, x, "qid", "_r").crossJoin(F.broadcast(total)))
+    size, more = F.floor(F.col("_n") / bins), F.col("_n") % bins
+    t = t.withColumn("_t", F.when(F.col("_r") < more * (size + 1), F.floor(F.col("_r") / (size + 1))).otherwise(more + F.floor((F.col("_r") - more * (size + 1)) / F.greatest(size, F.lit(1)))))
+    each = t.groupBy("_t").agg(F.count("*").alias("n")).join(quantile.exact(t, ["_t"], F.col(x), {"knot": 0.5}), "_t").join(quantile.exact(t, ["_t"], F.col(y), {"q95_raw": 0.95, "q99_raw": 0.99}), "_t")
     up = W.orderBy("knot").rowsBetween(W.unboundedPreceding, W.currentRow)
     return each.select("knot", "n", "q95_raw", "q99_raw", F.max("q95_raw").over(up).alias("q95_use"), F.max("q99_raw").over(up).alias("q99_use"))
 

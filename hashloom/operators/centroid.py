@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,12 +39,16 @@ def spans(probes: DataFrame, clusters: DataFrame) -> DataFrame:
     return probes.select("qid", "bin", "code").join(at, "code").select("qid", "bin", "start", "stop")
 
 
-def merged_spans(ranges: DataFrame) -> DataFrame:
-    """The ranges with adjacent and overlapping ones of a query's bin joined."""
+def merged_spans(ranges: DataFrame, cap: int = 0) -> DataFrame:
+    """The ranges with adjacent and overlapping ones of a query's bin joined; with a cap, cut into pieces of so many numbers at most."""
     w = W.partitionBy("qid", "bin").orderBy("start", "stop")
     before = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
     island = F.sum(F.when(before.isNull() | (F.col("start") > F.col("before")), 1).otherwise(0)).over(w)
-    return ranges.withColumn("before", before).withColumn("island", island).groupBy("qid", "bin", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
+    out = ranges.withColumn("before", before).withColumn("island", island).groupBy("qid", "bin", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
+    if cap <= 0:
+        return out
+    cut = out.where("start < stop").withColumn("_at", F.explode(F.sequence("start", F.col("stop") - 1, F.lit(cap).cast("bigint"))))
+    return cut.select("qid", "bin", F.col("_at").alias("start"), F.least(F.col("_at") + cap, "stop").alias("stop"))
 
 
 def span_batches(lengths: list[int], cap: int) -> list[int]:
@@ -118,7 +123,8 @@ class EarlyStop:
 
 def fold(rows: pd.DataFrame, k_c: int, cap: int, stop: EarlyStop, curve: list[tuple[float, float]] | None) -> tuple[list[tuple[float, int, int]], dict]:
     """One query's clusters, sorted by (bin, code, cid), pushed batch by batch into the nearest k_c; what is kept, and counts of the run."""
-    kept: list[tuple[float, int, int]] = []
+    heap: list[tuple[float, int, int]] = []
+    kept = lambda: sorted((-d, -c, -i) for d, c, i in heap)
     stats = {"batches": 0, "bins": 0, "seen": 0, "updates": 0, "rejects": 0, "gated": 0, "stopped": False}
     best, poor = float("inf"), 0
     knots = np.array([c[0] for c in curve]) if curve else None
@@ -136,15 +142,15 @@ def fold(rows: pd.DataFrame, k_c: int, cap: int, stop: EarlyStop, curve: list[tu
                 if part[j] > limit:
                     stats["gated"] += 1
                     continue
-                item = (float(part[j]), int(code[at + j]), int(cid[at + j]))
-                if len(kept) >= k_c:
-                    worst = max(kept)
-                    front += item[0] <= stop.front_alpha * worst[0]
-                    if item >= worst:
+                item = (-float(part[j]), -int(code[at + j]), -int(cid[at + j]))  # the heap's first is the worst kept
+                if len(heap) < k_c:
+                    heapq.heappush(heap, item)
+                else:
+                    front += -item[0] <= stop.front_alpha * -heap[0][0]
+                    if item <= heap[0]:
                         stats["rejects"] += 1
                         continue
-                    kept.remove(worst)
-                kept.append(item)
+                    heapq.heapreplace(heap, item)
                 updates += 1
             stats["batches"] += 1
             stats["seen"] += len(part)
@@ -156,10 +162,10 @@ def fold(rows: pd.DataFrame, k_c: int, cap: int, stop: EarlyStop, curve: list[tu
                 low = updates == 0 or (stop.eps_updates > 0 and share <= stop.eps_updates)
                 low = low or (stop.front_ratio > 0 and front / len(part) <= stop.front_ratio) or (stop.front_updates > 0 and front <= stop.front_updates)
             poor = poor + 1 if low else 0
-            if stop.enabled and len(kept) >= k_c and stats["bins"] >= stop.min_bins and poor >= stop.patience:
+            if stop.enabled and len(heap) >= k_c and stats["bins"] >= stop.min_bins and poor >= stop.patience:
                 stats["stopped"] = True
-                return sorted(kept), stats
-    return sorted(kept), stats
+                return kept(), stats
+    return kept(), stats
 
 
 def early_stop(multi: DataFrame, k_c: int, cap: int = 4096, stop: EarlyStop = EarlyStop(), curve: list[tuple[float, float]] | None = None) -> DataFrame:

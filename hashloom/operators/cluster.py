@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.vectors import l2sq
+from . import quantile
 
 
 @dataclass(frozen=True)
@@ -36,28 +37,54 @@ def _centroids(members: DataFrame, digits: int) -> DataFrame:
     return each.groupBy("code", "cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
+#: Rows of a bucket that one task compares with its centroids, about.
+SALT_ROWS = 100_000
+
+
 def _nearest(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    d = points.join(centroids, "code").select("vec_id", "code", "logits", "cid", l2sq(F.col("logits"), F.col("centroid")).alias("d2"))
-    return d.groupBy("vec_id", "code").agg(F.first("logits").alias("logits"), F.min(F.struct("d2", "cid")).alias("best")).select("vec_id", "code", "logits", F.col("best.cid").alias("cid"), F.col("best.d2").alias("d2"))
+    """vec_id, code, logits, cid, d2. A bucket's centroids (2,048 at most, by the policy) come as one array to the bucket's rows, so the nearest is found within
+    the row and nothing is exchanged after the join. points has `parts`: rows of a large bucket are dealt over so many keys, each with its
+    own copy of the centroids, so no bucket is one task's."""
+    whole = centroids.groupBy("code").agg(F.collect_list(F.struct("cid", "centroid")).alias("all"))
+    parts = points.select("code", "parts").distinct()
+    whole = whole.join(parts, "code").select("code", "all", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = points.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    best = F.array_min(F.transform("all", lambda c: F.struct(l2sq(F.col("logits"), c["centroid"]).alias("d2"), c["cid"].alias("cid"))))
+    return dealt.join(whole, ["code", "part"]).select("vec_id", "code", "logits", "parts", best.alias("best")).select("vec_id", "code", "logits", "parts", F.col("best.cid").alias("cid"), F.col("best.d2").alias("d2"))
+
+
+def nearest(coded: DataFrame, centroids: DataFrame) -> DataFrame:
+    """vec_id, code, logits, cid, d2: rows that came later, at the nearest cluster of their bucket."""
+    sized = coded.select("vec_id", "code", "logits").join(coded.groupBy("code").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("parts")), "code")
+    return _nearest(sized, centroids).drop("parts")
+
+
+def _ranked(coded: DataFrame, stretch: int) -> DataFrame:
+    """coded with pos (place in the bucket by id) and n (rows of the bucket). Ids are cut into stretches, counted per bucket, so a task orders
+    `stretch` rows of a bucket at most (ids are distinct)."""
+    cut = coded.withColumn("_s", F.floor(F.col("vec_id") / stretch))
+    count = cut.groupBy("code", "_s").agg(F.count("*").alias("_c"))
+    before = count.select("code", "_s", (F.sum("_c").over(W.partitionBy("code").orderBy("_s")) - F.col("_c")).alias("_before"), F.sum("_c").over(W.partitionBy("code")).alias("n"))
+    within = F.row_number().over(W.partitionBy("code", "_s").orderBy("vec_id")) - 1
+    return cut.withColumn("_w", within).join(before, ["code", "_s"]).withColumn("pos", F.col("_before") + F.col("_w")).drop("_s", "_w", "_before")
 
 
 def lloyd(coded: DataFrame, policy: Policy, rounds: int = 2, digits: int = 9, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Deterministic k-means of every bucket at once: (members: vec_id, code, logits, cid, d2; clusters: code, cid, centroid).
 
     Centroids start at rows evenly spaced in id order and are rounded each pass, so no order of summation shows; an empty cluster keeps
-    its centroid. Labels are those of the last centroids. A pass is an equi-join on the bucket and two aggregations; `cut` ends the
-    lineage of a pass's centroids and of the members (see storage.reliable)."""
-    w = W.partitionBy("code")
-    ranked = coded.select("vec_id", "code", "logits", (F.row_number().over(w.orderBy("vec_id")) - 1).alias("pos"), F.count("*").over(w).alias("n"))
-    ranked = ranked.withColumn("k", policy.k(F.col("n")))
-    points = ranked.select("vec_id", "code", "logits")
+    its centroid. Labels are those of the last centroids. A pass is an equi-join on the bucket and one aggregation; `cut` ends the
+    lineage of the ranked rows, of a pass's centroids and of the members (see storage.reliable)."""
+    ranked = _ranked(coded.select("vec_id", "code", "logits"), 10 * SALT_ROWS)
+    ranked = cut(ranked.withColumn("k", policy.k(F.col("n"))).withColumn("parts", F.ceil(F.col("n") / SALT_ROWS).cast("int")))
+    points = ranked.select("vec_id", "code", "logits", "parts")
     # row p starts cluster c if p = floor(c n / k)
     starts = ranked.withColumn("cid", F.expr("cast((pos * k + n - 1) div n as int)")).where("cid < k and (cid * n) div k = pos")
     centroids = starts.select("code", "cid", F.transform("logits", lambda x: F.round(x, digits)).alias("centroid"))
     for _ in range(rounds):
         moved = _centroids(_nearest(points, centroids), digits).withColumnRenamed("centroid", "moved")
         centroids = cut(centroids.join(moved, ["code", "cid"], "left").select("code", "cid", F.coalesce("moved", "centroid").alias("centroid")))
-    return cut(_nearest(points, centroids)), centroids
+    return cut(_nearest(points, centroids).drop("parts")), centroids
 
 
 def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -135,20 +162,20 @@ def kmeans_buckets(coded: DataFrame, policy: Policy, split: int = 200_000, seed:
 
 
 def cluster_quality(members: DataFrame, clusters: DataFrame, eps: float = 0.05) -> DataFrame:
-    """Per bucket: k, mean, max and percentiles of distances, least separation, overlap, median margin to the second centroid, share of ambiguous rows."""
-    d = members.select("vec_id", "code", "logits").join(clusters, "code").select("vec_id", "code", F.sqrt(l2sq(F.col("logits"), F.col("centroid"))).alias("d"))
-    two = d.groupBy("vec_id", "code").agg(F.slice(F.array_sort(F.collect_list("d")), 1, 2).alias("ds"))
+    """Per bucket: k, mean, max and percentiles of distances, least separation, overlap, median margin to the second centroid, share of ambiguous rows.
+    The two nearest centroids are found within the row, from the bucket's array of centroids."""
+    whole = clusters.groupBy("code").agg(F.count("*").alias("k"), F.collect_list("centroid").alias("all"))
+    two = members.select("code", "logits").join(whole.select("code", "all"), "code").select("code", F.slice(F.array_sort(F.transform("all", lambda c: F.sqrt(l2sq(F.col("logits"), c)))), 1, 2).alias("ds"))
     two = two.select("code", F.get("ds", F.lit(0)).alias("d"), (F.get("ds", F.lit(1)) - F.get("ds", F.lit(0))).alias("margin"))
-    a = two.groupBy("code").agg(
-        F.avg("d").alias("mean_l2"), F.max("d").alias("max_l2"), *(F.percentile("d", F.lit(q)).alias(f"p{round(q * 100)}_l2") for q in (0.5, 0.9, 0.99)),
-        F.percentile("margin", F.lit(0.5)).alias("margin_p50"), F.avg(F.when(F.col("margin") < eps, 1.0).otherwise(0.0)).alias("ambiguous"),
-    )
-    o = clusters.select("code", F.col("cid").alias("cid2"), F.col("centroid").alias("c2"))
-    sep = clusters.join(o, "code").where("cid < cid2").groupBy("code").agg(F.min(F.sqrt(l2sq(F.col("centroid"), F.col("c2")))).alias("separation"))
-    n = clusters.groupBy("code").agg(F.count("*").alias("k"))
-    j = n.join(a, "code").join(sep, "code", "left")
+    a = two.groupBy("code").agg(F.avg("d").alias("mean_l2"), F.max("d").alias("max_l2"), F.avg(F.when(F.col("margin") < eps, 1.0).otherwise(0.0)).alias("ambiguous"))
+    q = quantile.exact(two, ["code"], F.col("d"), {"p50_l2": 0.5, "p90_l2": 0.9, "p99_l2": 0.99}, few_keys=False)
+    m = quantile.exact(two, ["code"], F.col("margin"), {"margin_p50": 0.5}, few_keys=False)
+    # pairs of a bucket's centroids, whose number the policy bounds, within its row
+    place = F.transform("all", lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+    between = F.flatten(F.transform(place, lambda a: F.transform(F.filter(place, lambda b: b["i"] > a["i"]), lambda b: F.sqrt(l2sq(a["c"], b["c"])))))
+    j = whole.select("code", "k", F.array_min(between).alias("separation")).join(a, "code").join(q, "code").join(m, "code", "left")
     overlap = F.when(F.col("k") < 2, F.lit(0.0)).when(F.col("separation") == 0, F.lit(float("inf"))).otherwise(2 * F.col("p99_l2") / F.col("separation"))
-    return j.withColumn("overlap", overlap)
+    return j.select("code", "k", "mean_l2", "max_l2", "p50_l2", "p90_l2", "p99_l2", "margin_p50", "ambiguous", "separation", overlap.alias("overlap"))
 
 
 def cluster_classes(hist_k: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.vectors import dot, doubles, l2_normalize, literal
 
@@ -72,6 +72,31 @@ def encode_arrow(df: DataFrame, layers: Sequence[Layer], key: str = "vec_id", ve
     return df.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, f"{key} bigint, logits array<double>")
 
 
+def arrow_encoder(layers: Sequence[Layer], vector: str = "embedding") -> Encoder:
+    """The layers as an encoder for wide networks: matrix products over Arrow batches, all columns kept. Rows without a vector go."""
+    weights = [(np.array(x.weights), None if x.bias is None else np.array(x.bias), x.relu) for x in layers]
+
+    def run(df: DataFrame) -> DataFrame:
+        at = df.columns.index(vector)
+
+        def batches(found):
+            import pyarrow as pa
+
+            for batch in found:
+                n = batch.num_rows
+                x = batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, weights[0][0].shape[1]))
+                for w, b, relu in weights:
+                    x = x @ w.T if b is None else x @ w.T + b
+                    x = np.maximum(x, 0) if relu else x
+                logits = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, logits], [*batch.schema.names, "logits"])
+
+        schema = T.StructType([*df.schema.fields, T.StructField("logits", T.ArrayType(T.DoubleType()))])
+        return df.where(F.col(vector).isNotNull()).mapInArrow(batches, schema)
+
+    return run
+
+
 def first_rows(df: DataFrame, ratio: float, key: str = "vec_id") -> DataFrame:
     """Rows of the first share of ids, one at least; ids are dense from 0."""
     n = df.agg((F.max(key) + 1).alias("n"))
@@ -90,6 +115,15 @@ def selective_similarity_loss(pairs: DataFrame, tau: float, gamma: float, d_low:
     )
 
 
+def selective_similarity_loss_cosine(pairs: DataFrame, near: float = 0.5, near_after: float = 0.7, gamma: float = 0.9) -> DataFrame:
+    """The loss for cosine over pairs with the similarities s_in (of normalised inputs) and s_emb (of encodings as they are): the mean squared
+    gap (1 - s_emb) - gamma (1 - s_in) over pairs that are similar before, or became too similar after. loss, kept."""
+    keep = (F.col("s_in") > F.lit(near)) | (F.col("s_emb") > F.lit(near_after))
+    gap = (F.lit(1.0) - F.col("s_emb")) - F.lit(gamma) * (F.lit(1.0) - F.col("s_in"))
+    n = F.coalesce(F.sum(F.when(keep, 1).otherwise(0)), F.lit(0))
+    return pairs.agg((F.coalesce(F.sum(F.when(keep, gap * gap)), F.lit(0.0)) / F.greatest(n, F.lit(1))).alias("loss"), n.cast("bigint").alias("kept"))
+
+
 def train(vectors: np.ndarray, d_low: int, hidden: int = 32, tau: float = 1.3, gamma: float = 0.6, epochs: int = 30, batch: int = 256, rate: float = 2e-3, keep: int = 5, seed: int = 42) -> list[tuple[float, list[Layer]]]:
     """Fit a two-layer encoder with the selective similarity loss on a bounded sample (the caller's array) by Adam; the `keep` checkpoints
     of smallest validation loss, best first. The last tenth of the rows validates."""

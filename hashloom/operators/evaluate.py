@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import hamming, l2sq, masked_l1
+from . import quantile
 
 
 def valid_truth(truth: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def distance_summary(d: DataFrame) -> DataFrame:
         "d_gt_sq": F.col("d_gt"), "d_cent_sq": F.col("d_cent"), "diff_sq": F.col("d_cent") - F.col("d_gt"), "ratio_sq": F.col("d_cent") / (F.col("d_gt") + F.lit(1e-20)),
     }
     each = d.select(F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), v.alias("v")) for k, v in m.items()))).alias("s")).select("s.*")
-    return each.groupBy("measure").agg(*(F.percentile("v", F.lit(q)).alias(f"p{round(q * 100)}") for q in (0.5, 0.9, 0.99)))
+    return quantile.exact(each, ["measure"], F.col("v"), {"p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
 def distance_transform(truth: DataFrame, how: str = "auto") -> DataFrame:

@@ -39,7 +39,12 @@ def brute_force(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2sq
     return top_k(pairs.select("qid", "vec_id", METRICS[metric](F.col("q"), F.col("b")).alias("dist")), k).select("qid", "rank", "vec_id", "dist")
 
 
-def refined(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2sq") -> DataFrame:
-    """qid, rank, vec_id, dist: exact distances of candidate (qid, vec_id) rows, gathered by two equi-joins."""
-    c = candidates.join(vectors.select("vec_id", doubles(F.col("embedding")).alias("b")), "vec_id").join(queries.select("qid", doubles(F.col("embedding")).alias("q")), "qid")
-    return top_k(c.select("qid", "vec_id", METRICS[metric](F.col("q"), F.col("b")).alias("dist")), k).select("qid", "rank", "vec_id", "dist")
+def refined(probed: DataFrame, payload: DataFrame, queries: DataFrame, on: list[str], k: int, metric: str = "l2sq", exclude_self: bool = False) -> DataFrame:
+    """qid, rank, vec_id, dist: exact distances of the rows that lie where a query probes.
+
+    payload has the vectors at their places (columns `on`, vec_id, embedding), probed the places of each query. Distances are computed where the two meet, so what goes
+    through the exchange after that is (qid, vec_id, dist), cut to the nearest k of each query in each task; no candidate's vector moves."""
+    asked = probed.select("qid", *on).join(queries.select("qid", doubles(F.col("embedding")).alias("q")), "qid")
+    met = asked.join(payload.select(*on, "vec_id", "embedding"), on)
+    met = met.where("qid <> vec_id") if exclude_self else met
+    return top_k(met.select("qid", "vec_id", METRICS[metric](F.col("q"), doubles(F.col("embedding"))).alias("dist")), k).select("qid", "rank", "vec_id", "dist")

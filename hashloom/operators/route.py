@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.vectors import margins, packed_bits, score_bin
+from . import quantile
 
 
 def prepared(queries: DataFrame, thr: DataFrame, lsel: int | None = None) -> DataFrame:
@@ -49,29 +47,17 @@ def probes(prep: DataFrame, plan: DataFrame, max_score: float = float("inf"), ke
 
 
 def probes_pruned(prep: DataFrame, rmax: int, max_score: float) -> DataFrame:
-    """qid, code, score: the same buckets by depth-first search, which leaves a branch once its cost passes the limit. For plans too
-    large to be joined with every query."""
-
-    def walk(base: int, ranked: list, start: int, left: int, code: int, score: float, out: list) -> None:
-        out.append((code, score))
-        if not left:
-            return
-        for k in range(start, len(ranked)):
-            more = score + ranked[k]["cost"]
-            if more > max_score:  # costs ascend
-                break
-            walk(base, ranked, k + 1, left - 1, code ^ (1 << ranked[k]["bit"]), more, out)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for qid, base, ranked in zip(pdf["qid"], pdf["base"], pdf["ranked"]):
-                found: list = []
-                walk(int(base), list(ranked), 0, rmax, int(base), 0.0, found)
-                rows += [(qid, c, s) for c, s in found]
-            yield pd.DataFrame(rows, columns=["qid", "code", "score"])
-
-    return prep.mapInPandas(run, "qid bigint, code bigint, score double")
+    """qid, code, score: the same buckets level by level, one more flipped bit each, where a branch ends once its cost passes the limit. For
+    plans too large to be joined with every query. Costs ascend, so nothing beyond the limit is ever extended."""
+    flip = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.get("ranked", k)["bit"])
+    here = prep.select("qid", "ranked", F.col("base").alias("code"), F.lit(0.0).alias("score"), F.lit(-1).alias("last"))
+    out = here.select("qid", "code", "score")
+    for _ in range(rmax):
+        nexts = F.filter(F.sequence(F.col("last") + 1, F.size("ranked") - 1, F.lit(1)), lambda k: F.col("score") + F.get("ranked", k)["cost"] <= F.lit(max_score))
+        more = here.where(F.col("last") + 1 < F.size("ranked")).select("*", F.explode(nexts).alias("k"))
+        here = more.select("qid", "ranked", F.col("code").bitwiseXOR(flip(F.col("k"))).alias("code"), (F.col("score") + F.get("ranked", F.col("k"))["cost"]).alias("score"), F.col("k").alias("last"))
+        out = out.unionByName(here.select("qid", "code", "score"))
+    return out
 
 
 def binned(probed: DataFrame, max_score: float, bins: int, alpha: float, to_bin=score_bin) -> DataFrame:
@@ -106,4 +92,4 @@ def classified(probed: DataFrame, hist: DataFrame, big: int, skip: int | None =
 def sorted_margin_stats(queries: DataFrame, thr: DataFrame) -> DataFrame:
     """pos, mean, p10, p50, p90 of the margins at each place of their order."""
     each = queries.crossJoin(F.broadcast(thr)).select(F.posexplode(F.array_sort(margins(F.col("logits"), F.col("thr")))).alias("pos", "m"))
-    return each.groupBy("pos").agg(F.avg("m").alias("mean"), *(F.percentile("m", F.lit(q)).alias(f"p{round(q * 100)}") for q in (0.1, 0.5, 0.9)))
+    return each.groupBy("pos").agg(F.avg("m").alias("mean")).join(quantile.exact(each, ["pos"], F.col("m"), {"p10": 0.1, "p50": 0.5, "p90": 0.9}), "pos")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .queries import ALPHA, BINS, BITS, CURVE, DIM, HIDDEN, MAX_SCORE, MLP, QUERIES, linear_weights
+from .queries import ALPHA, BINS, BITS, CURVE, DIM, EVERY, HIDDEN, MAX_SCORE, MLP, linear_weights
 
 
 def _num(x: float) -> str:
@@ -100,12 +100,12 @@ def _curve(x: str) -> str:
 TABLES = {
     "v": "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings",
     "ks": f"SELECT range AS k FROM range({BITS})",
-    "q": f"SELECT vec_id AS qid, e FROM v WHERE vec_id < {QUERIES}",
+    "q": f"SELECT vec_id AS qid, e FROM v WHERE vec_id % {EVERY} = 0",
     "enc": _encoded(),
     "thr": _thresholds("enc"),
     "coded": f"SELECT vec_id, label, x, {_code('x', 't')} AS code FROM enc, thr",
     "hist": "SELECT code, count(*) AS n FROM coded GROUP BY code",
-    "qc": f"SELECT vec_id AS qid, x, code AS base FROM coded WHERE vec_id < {QUERIES}",
+    "qc": f"SELECT vec_id AS qid, x, code AS base FROM coded WHERE vec_id % {EVERY} = 0",
     "costs": "SELECT qid, k AS bit, abs(x[k + 1] - t[k + 1]) AS cost FROM qc, thr, ks",
     "ranks": "SELECT qid, bit, cost, row_number() OVER (PARTITION BY qid ORDER BY cost, bit) - 1 AS rnk FROM costs",
     "allprobes": _probes(6, 2),
@@ -178,7 +178,7 @@ _SWEEP = " UNION ALL ".join(f"SELECT {_num(t)} AS target, round(greatest(quantil
 def _config(lsel: int, rmax: int) -> str:
     hit = f"""SELECT gp.qid, gp.vec_id FROM gp LEFT JOIN ranks ON ranks.qid = gp.qid AND (xor(cq, cb) >> bit::INTEGER) & 1 = 1 GROUP BY gp.qid, gp.vec_id HAVING count(rnk) <= {rmax} AND coalesce(max(rnk), 0) < {lsel}"""
     return f"""SELECT {lsel}::BIGINT AS lsel, {rmax}::BIGINT AS rmax, recall, candidates FROM ({_recall(f'({hit})')}),
-        (SELECT round(count(*) / {QUERIES}e0, 6) AS candidates FROM ({_probes(lsel, rmax)}) p JOIN coded USING (code))"""
+        (SELECT round(count(*) / (SELECT count(*) FROM qc)::DOUBLE, 6) AS candidates FROM ({_probes(lsel, rmax)}) p JOIN coded USING (code))"""
 
 
 def _strict(m: int) -> str:
@@ -187,12 +187,12 @@ def _strict(m: int) -> str:
 
 
 ORACLES = {
-    "l2sq_pairs": "SELECT qid, vec_id, round(dist, 6) AS d2 FROM scan",
-    "dot_pairs": f"SELECT qid, v.vec_id, round({dot('q.e', 'v.e')}, 6) AS ip FROM v, q",
-    "cosine_distance_pairs": f"SELECT qid, v.vec_id, round(greatest(1e0 - {dot('q.e', 'v.e')} / ((sqrt({dot('q.e', 'q.e')}) + 1e-12) * (sqrt({dot('v.e', 'v.e')}) + 1e-12)), 0e0), 6) AS dist FROM v, q",
+    "l2sq_pairs": f"SELECT a.vec_id, round({sq('a.e', 'b.e')}, 6) AS d2 FROM v a JOIN v b ON b.vec_id = a.vec_id + 1",
+    "dot_pairs": f"SELECT a.vec_id, round({dot('a.e', 'b.e')}, 6) AS ip FROM v a JOIN v b ON b.vec_id = a.vec_id + 1",
+    "cosine_distance_pairs": f"SELECT a.vec_id, round(greatest(1e0 - {dot('a.e', 'b.e')} / ((sqrt({dot('a.e', 'a.e')}) + 1e-12) * (sqrt({dot('b.e', 'b.e')}) + 1e-12)), 0e0), 6) AS dist FROM v a JOIN v b ON b.vec_id = a.vec_id + 1",
     "l2_normalize": f"SELECT vec_id, range AS k, round((e[range + 1] / 3e0) / greatest(sqrt({dot('list_transform(e, lambda y: y / 3e0)', 'list_transform(e, lambda y: y / 3e0)')}), 1e-12), 6) AS u FROM v, range({DIM})",
     "scale_unit": "SELECT vec_id, round(list_reduce(list_prepend(0e0, list_transform(e, lambda y: y / 255e0)), lambda s, y: s + y), 9) AS s FROM v",
-    "u8_l2sq_pairs": f"SELECT a.vec_id AS qid, b.vec_id, {sq('a.b', 'b.b')}::BIGINT AS d2 FROM u8 a, u8 b WHERE a.vec_id < {QUERIES}",
+    "u8_l2sq_pairs": f"SELECT a.vec_id, {sq('a.b', 'b.b')}::BIGINT AS d2 FROM u8 a JOIN u8 b ON b.vec_id = a.vec_id + 1",
     "brute_force_top10": f"SELECT qid, rank, vec_id, round(dist, 6) AS dist FROM ({_top('scan', 10)})",
     "brute_force_ip_top10": "SELECT qid, rank, vec_id, round(dist, 6) AS dist FROM (" + _top(f"(SELECT qid, v.vec_id, -{dot('q.e', 'v.e')} AS dist FROM v, q)", 10) + ")",
     "topk_merge": f"SELECT qid, rank, vec_id, round(dist, 6) AS dist FROM ({_top('scan', 10)})",
@@ -205,7 +205,7 @@ ORACLES = {
     "bucket_codes": "SELECT vec_id, code FROM coded",
     "bucket_histogram": "SELECT code, n FROM hist",
     "bucket_balance": _balance("hist"),
-    "bucket_balance_dense_p50": f"SELECT (list(coalesce(n, 0) ORDER BY coalesce(n, 0))[{round(0.5 * ((1 << BITS) - 1)) + 1}])::BIGINT AS p50 FROM range({1 << BITS}) LEFT JOIN (SELECT code, count(*) AS n FROM coded WHERE vec_id % 7 = 0 GROUP BY code) h ON h.code = range",
+    "bucket_balance_dense_p50": f"SELECT (list(coalesce(n, 0) ORDER BY coalesce(n, 0))[{round(0.5 * ((1 << BITS) - 1)) + 1}])::BIGINT AS p50 FROM range({1 << BITS}) LEFT JOIN (SELECT code, count(*) AS n FROM coded GROUP BY code) h ON h.code = range",
     "top_buckets": "SELECT code, n FROM hist ORDER BY n DESC, code LIMIT 20",
     "best_threshold_group": "SELECT * FROM (" + _balance(f"(SELECT grp, code, count(*) AS n FROM (SELECT grp, {_code('x', 't')} AS code FROM enc, win) GROUP BY ALL)", "grp") + ") ORDER BY max_n, p999, p99, empty_ratio, nonempty DESC, grp LIMIT 1",
     "posting_lists": "SELECT code, pos, vec_id FROM pts",
@@ -263,14 +263,15 @@ ORACLES = {
     "earlystop_shift_sweep": _SWEEP,
     "earlystop_violation": """SELECT band, count(*) AS n, round(avg((x > greatest(0.3e0 * y + 0.2e0, 0e0) + 1e-8)::INTEGER), 6) AS rate FROM
         (SELECT x, y, unnest(['all', CASE WHEN y <= lo THEN 'low' WHEN y > hi THEN 'high' ELSE 'mid' END]) AS band FROM mp, (SELECT quantile_cont(y, 0.1) AS lo, quantile_cont(y, 0.9) AS hi FROM mp)) GROUP BY band""",
-    "earlystop_patch": "SELECT qid, vec_id, round(CASE WHEN y * y < 1.5e0 THEN greatest(0.4e0 * 1.5e0, 0e0) ELSE greatest(0.4e0 * (y * y) + 0.1e0, 0e0) END, 6) AS ub FROM mp",
+    "earlystop_patch": "SELECT qid, vec_id, round(CASE WHEN y * y < 1.5e0 THEN 0.6e0 ELSE 0.4e0 * (y * y) END, 6) AS ub FROM mp",
+    "earlystop_shift": "SELECT qid, vec_id, round(greatest(0.4e0 * (y * y) + 0.1e0, 0e0), 6) AS ub FROM mp",
     "earlystop_pick": f"SELECT * FROM ({_SWEEP}) WHERE target = 0.005e0",
     "margin_curve": """SELECT round(knot, 6) AS knot, n, round(a, 6) AS q95_raw, round(b, 6) AS q99_raw, round(max(a) OVER w, 6) AS q95_use, round(max(b) OVER w, 6) AS q99_use FROM
         (SELECT g, quantile_cont(x, 0.5) AS knot, count(*) AS n, quantile_cont(y, 0.95) AS a, quantile_cont(y, 0.99) AS b FROM (SELECT *, ntile(4) OVER (ORDER BY x, qid) AS g FROM need) GROUP BY g)
         WINDOW w AS (ORDER BY knot ROWS UNBOUNDED PRECEDING)""",
     "smax_coverage": """SELECT s_max, round(avg((x <= s_max)::INTEGER), 6) AS pair_cover, round((SELECT avg((w <= s_max)::INTEGER) FROM (SELECT qid, max(x) AS w FROM mp GROUP BY qid)), 6) AS query_cover
         FROM mp, (SELECT unnest([0.25e0, 0.5e0, 1e0, 2e0]) AS s_max) GROUP BY s_max""",
-    "margin_lookup": f"SELECT vec_id, y AS x, round({_curve('y')}, 6) AS margin FROM (SELECT vec_id, (vec_id - 5) / 20e0 AS y FROM v WHERE vec_id < 60)",
+    "margin_lookup": f"SELECT vec_id, y AS x, round({_curve('y')}, 6) AS margin FROM (SELECT vec_id, (vec_id - 5) / 20e0 AS y FROM v)",
     "gt_cluster_distance": "SELECT qid, vec_id, round(d_gt, 6) AS d_gt, round(d_cent, 6) AS d_cent FROM gc",
     "gt_linear_fit": f"""SELECT round({_FIT}, 6) AS slope, round(avg(d_cent) - {_FIT} * avg(d_gt), 6) AS intercept, round(corr(d_cent, d_gt), 6) AS corr,
         round(sqrt(greatest(var_pop(d_cent) - {_FIT} * covar_pop(d_cent, d_gt), 0e0)), 6) AS rmse, count(*) AS n FROM gc""",
@@ -282,7 +283,7 @@ ORACLES = {
     "model_selection": f"SELECT model, max_n, p99, p999, nonempty, empty_ratio FROM ({_balance('(' + ' UNION ALL '.join(map(_strict, range(3))) + ')', 'model')}) ORDER BY max_n, model LIMIT 1",
     "config_sweep": " UNION ALL ".join(_config(a, b) for a, b in ((4, 1), (6, 1), (6, 2))),
     "selective_similarity_loss": f"""SELECT round(coalesce(sum(CASE WHEN keep THEN (b - s * a) * (b - s * a) END), 0e0) / greatest(sum(keep::INTEGER), 1), 6) AS loss, sum(keep::INTEGER)::BIGINT AS kept FROM
-        (SELECT *, a < 1.3e0 OR b < 1.3e0 * s AS keep FROM (SELECT sqrt({sq('i.e', 'j.e')}) AS a, sqrt({sq('i.x', 'j.x')}) AS b, 0.6e0 * sqrt({BITS}e0 / {DIM}e0) AS s FROM enc i, enc j WHERE i.vec_id < 64 AND j.vec_id < 64 AND i.vec_id <> j.vec_id))""",
+        (SELECT *, a < 1.3e0 OR b < 1.3e0 * s AS keep FROM (SELECT sqrt({sq('i.e', 'j.e')}) AS a, sqrt({sq('i.x', 'j.x')}) AS b, 0.6e0 * sqrt({BITS}e0 / {DIM}e0) AS s FROM enc i JOIN bat bi ON bi.vec_id = i.vec_id JOIN bat bj ON bj.batch = bi.batch JOIN enc j ON j.vec_id = bj.vec_id WHERE i.vec_id <> j.vec_id))""",
 }
 def _cell(c: str, lo: float, hi: float, bins: int) -> str:
     return f"least(greatest(floor(({c} - {_num(lo)}) / {_num(hi - lo)} * {bins}), 0), {bins - 1})::BIGINT"
@@ -293,14 +294,18 @@ def _dense(q: float) -> str:
 
 
 ORACLES |= {
-    "pairwise_l2_matrix": "SELECT qid, vec_id, round(dist, 6) AS d2 FROM scan",
+    "pairwise_l2_matrix": f"SELECT a.vec_id, b.vec_id AS j, round({sq('a.e', 'b.e')}, 6) AS d2 FROM bat a JOIN bat b ON a.batch = b.batch AND a.vec_id < b.vec_id",
+    "selective_similarity_loss_cosine": f"""SELECT round(coalesce(sum(CASE WHEN keep THEN pow((1 - sm) - 0.9e0 * (1 - si), 2) END), 0e0) / greatest(sum(keep::INTEGER), 1), 6) AS loss, sum(keep::INTEGER)::BIGINT AS kept FROM
+        (SELECT *, si > 0.1e0 OR sm > 0.7e0 AS keep FROM (SELECT {dot('i.e', 'j.e')} / (sqrt({dot('i.e', 'i.e')}) * sqrt({dot('j.e', 'j.e')})) AS si, {dot('i.x', 'j.x')} / (sqrt({dot('i.x', 'i.x')}) * sqrt({dot('j.x', 'j.x')})) AS sm
+        FROM enc i JOIN bat bi ON bi.vec_id = i.vec_id JOIN bat bj ON bj.batch = bi.batch JOIN enc j ON j.vec_id = bj.vec_id WHERE i.vec_id <> j.vec_id))""",
     "sample_share": "SELECT vec_id, label FROM (SELECT *, row_number() OVER (ORDER BY (vec_id * 7919) % 1000003, vec_id) AS r, count(*) OVER () AS n FROM v) WHERE r <= greatest(1, floor(n * 0.05e0))",
     "cluster_sizes": "SELECT code, cid, n, (sum(n) OVER (ORDER BY code, cid) - n)::BIGINT AS \"offset\" FROM (SELECT code, cid, count(*) AS n FROM members GROUP BY ALL)",
-    "bucket_percentiles_dense": f"SELECT {_dense(0.5)} AS p50, {_dense(0.9)} AS p90, {_dense(0.99)} AS p99 FROM range({1 << BITS}) LEFT JOIN (SELECT code, count(*) AS n FROM coded WHERE vec_id % 3 = 0 GROUP BY code) h ON h.code = range",
+    "bucket_percentiles_dense": f"SELECT {_dense(0.5)} AS p50, {_dense(0.9)} AS p90, {_dense(0.99)} AS p99 FROM range({1 << BITS}) LEFT JOIN (SELECT code, count(*) AS n FROM coded GROUP BY code) h ON h.code = range",
     "y_spaces": " UNION ALL ".join(f"SELECT qid, vec_id, '{k}' AS space, round({e}, 6) AS y FROM gt" for k, e in {"identity": "dist", "square": "dist * dist", "sqrt": "sqrt(greatest(dist, 0e0))", "log1p": "ln(1e0 + greatest(dist, 0e0))"}.items()),
     "probed_spans": """SELECT qid, bin, min(a)::BIGINT AS start, max(b)::BIGINT AS stop FROM (SELECT *, sum(CASE WHEN pb IS NULL OR a > pb THEN 1 ELSE 0 END) OVER (PARTITION BY qid, bin ORDER BY a) AS g FROM
         (SELECT qid, bin, a, b, max(b) OVER (PARTITION BY qid, bin ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM probes JOIN
         (SELECT code, sum(k) OVER (ORDER BY code) - k AS a, sum(k) OVER (ORDER BY code) AS b FROM nk) USING (code))) GROUP BY qid, bin, g""",
+    "probed_spans_capped": "",
     "margin_scatter": "SELECT qid * 100000 + vec_id AS \"key\", round(x, 6) AS x, round(y, 6) AS y FROM mp ORDER BY ((qid * 100000 + vec_id) * 7919) % 1000003, 1 LIMIT 60",
     "margin_summary": "SELECT " + ", ".join(f"round(min({c}), 6) AS {c}_min, round(quantile_cont({c}, 0.5), 6) AS {c}_p50, round(quantile_cont({c}, 0.99), 6) AS {c}_p99, round(max({c}), 6) AS {c}_max" for c in "xy") + " FROM mp",
     "margin_histogram": f"SELECT range AS bin, count(x) AS n FROM range(16) LEFT JOIN mp ON {_cell('x', 0, 2, 16)} = range GROUP BY range",
@@ -308,6 +313,7 @@ ORACLES |= {
     "margin_bands": "SELECT floor(y * 10)::BIGINT AS band, count(*) AS n, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.95), 6) AS p95 FROM mp GROUP BY 1",
 }
 ORACLES["encode_mlp_arrow"] = ORACLES["encode_mlp"]
+ORACLES["probed_spans_capped"] = f"SELECT qid, bin, a AS start, least(a + 3, stop)::BIGINT AS stop FROM (SELECT *, unnest(range(start, stop, 3)) AS a FROM ({ORACLES['probed_spans']}))"
 assert HIDDEN == len(MLP[0].weights)
 
 

@@ -8,13 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import vectors as V
-from .operators import buckets, calibrate, centroid, cluster, encode, evaluate, refine, report, route
+from .operators import buckets, calibrate, centroid, cluster, encode, evaluate, quantile, refine, report, route
 from .operators.cluster import Policy
 from .operators.encode import Layer
 from .plans import search, storage
 from .plans.search import SearchConfig
 
-BITS, DIM, QUERIES, MAX_SCORE, BINS, ALPHA = 6, 64, 20, 1.0, 8, 0.7
+BITS, DIM, MAX_SCORE, BINS, ALPHA = 6, 64, 1.0, 8, 0.7
+#: Queries are all rows whose id is divisible by EVERY; those halfway between calibrate.
+EVERY = 100
 POLICY = Policy(min_small=4, min_large=17, target_small=4, target_large=8)
 CURVE = ((0.0, 0.05), (0.5, 0.2), (2.0, 0.4))
 
@@ -43,7 +45,7 @@ class Ctx:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.base = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-        self.queries = self.base.where(F.col("vec_id") < QUERIES).select(F.col("vec_id").alias("qid"), "embedding")
+        self.queries = self.base.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), "embedding")
 
     def index(self, policy: Policy | None = None) -> search.Index:
         return search.build(self.base, LINEAR, policy, cut=storage.reliable if policy else lambda df: df)
@@ -92,24 +94,29 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*(r6(c) if c in cols else F.col(c) for c in df.columns))
 
 
-def _scanned(c: Ctx, metric: Callable, name: str) -> DataFrame:
-    p = c.base.select("vec_id", V.doubles(F.col("embedding")).alias("b")).crossJoin(F.broadcast(c.queries.select("qid", V.doubles(F.col("embedding")).alias("q"))))
-    return p.select("qid", "vec_id", r6(metric(F.col("q"), F.col("b")), name))
+def _neighbours(c: Ctx, vector: Column) -> DataFrame:
+    """vec_id, q, b: each vector and the one of the next id, by an equi-join."""
+    v = c.base.select("vec_id", vector.alias("q"))
+    return v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("q").alias("b")), "vec_id")
+
+
+def _next(c: Ctx, metric: Callable, name: str) -> DataFrame:
+    return _neighbours(c, V.doubles(F.col("embedding"))).select("vec_id", r6(metric(F.col("q"), F.col("b")), name))
 
 
 @query
 def l2sq_pairs(c: Ctx) -> DataFrame:
-    return _scanned(c, V.l2sq, "d2")
+    return _next(c, V.l2sq, "d2")
 
 
 @query
 def dot_pairs(c: Ctx) -> DataFrame:
-    return _scanned(c, V.dot, "ip")
+    return _next(c, V.dot, "ip")
 
 
 @query
 def cosine_distance_pairs(c: Ctx) -> DataFrame:
-    return _scanned(c, V.cosine_distance, "dist")
+    return _next(c, V.cosine_distance, "dist")
 
 
 @query
@@ -126,9 +133,7 @@ def scale_unit(c: Ctx) -> DataFrame:
 @query
 def u8_l2sq_pairs(c: Ctx) -> DataFrame:
     as_u8 = V.clipped_u8(F.transform(V.doubles(F.col("embedding")), lambda x: (x + F.lit(1.0)) * F.lit(127.5)))
-    b = c.base.select("vec_id", V.doubles(as_u8).alias("b"))
-    q = b.where(F.col("vec_id") < QUERIES).select(F.col("vec_id").alias("qid"), F.col("b").alias("q"))
-    return b.crossJoin(F.broadcast(q)).select("qid", "vec_id", V.l2sq(F.col("q"), F.col("b")).cast("bigint").alias("d2"))
+    return _neighbours(c, V.doubles(as_u8)).select("vec_id", V.l2sq(F.col("q"), F.col("b")).cast("bigint").alias("d2"))
 
 
 @query
@@ -203,7 +208,7 @@ def bucket_balance(c: Ctx) -> DataFrame:
 
 @query
 def bucket_balance_dense_p50(c: Ctx) -> DataFrame:
-    return buckets.dense_p50(buckets.histogram(c.index().coded.where("vec_id % 7 = 0")), BITS)
+    return buckets.dense_p50(buckets.histogram(c.index().coded), BITS)
 
 
 @query
@@ -502,7 +507,13 @@ def earlystop_violation(c: Ctx) -> DataFrame:
 @query
 def earlystop_patch(c: Ctx) -> DataFrame:
     p = c.margin_pairs(c.index())
-    return p.select("qid", "vec_id", r6(calibrate.bound(calibrate.in_space(F.col("y")), F.lit(0.4), F.lit(0.1), F.lit(1.5)), "ub"))
+    return p.select("qid", "vec_id", r6(calibrate.patched(calibrate.in_space(F.col("y")), F.lit(0.4), F.lit(1.5)), "ub"))
+
+
+@query
+def earlystop_shift(c: Ctx) -> DataFrame:
+    p = c.margin_pairs(c.index())
+    return p.select("qid", "vec_id", r6(calibrate.bound(calibrate.in_space(F.col("y")), F.lit(0.4), F.lit(0.1)), "ub"))
 
 
 @query
@@ -513,7 +524,7 @@ def earlystop_pick(c: Ctx) -> DataFrame:
 
 @query
 def margin_curve(c: Ctx) -> DataFrame:
-    m = calibrate.margin_curve(c.needed(c.index(POLICY)), 4)
+    m = calibrate.margin_curve(c.needed(c.index(POLICY)), 4, cut=storage.reliable)
     return rounded(m, *(x for x in m.columns if x != "n"))
 
 
@@ -525,7 +536,7 @@ def smax_coverage(c: Ctx) -> DataFrame:
 
 @query
 def margin_lookup(c: Ctx) -> DataFrame:
-    xs = c.base.where(F.col("vec_id") < 60).select("vec_id", ((F.col("vec_id") - 5) / F.lit(20.0)).alias("x"))
+    xs = c.base.select("vec_id", ((F.col("vec_id") - 5) / F.lit(20.0)).alias("x"))
     return rounded(calibrate.margin_lookup(xs, c.curve(), "x", "y"), "margin")
 
 
@@ -567,25 +578,38 @@ def model_selection(c: Ctx) -> DataFrame:
 
 @query
 def config_sweep(c: Ctx) -> DataFrame:
-    ix, out = c.index(), []
+    ix, out, asked = c.index(), [], c.queries.count()
     for lsel, rmax in ((4, 1), (6, 1), (6, 2)):
         cfg = SearchConfig(bits=BITS, lsel=lsel, rmax=rmax)
-        n = search.bucket_candidates(ix, c.queries, cfg).agg(F.round(F.count("*") / QUERIES, 6).alias("candidates"))
+        n = search.bucket_candidates(ix, c.queries, cfg).agg(F.round(F.count("*") / asked, 6).alias("candidates"))
         out.append(search.recall(ix, c.queries, cfg).crossJoin(n).select(F.lit(lsel).cast("bigint").alias("lsel"), F.lit(rmax).cast("bigint").alias("rmax"), "recall", "candidates"))
     return reduce(DataFrame.unionByName, out)
 
 
+def _batch_pairs(c: Ctx) -> DataFrame:
+    """Pairs of different rows within batches of 50, over the whole table: v, w and logits, m."""
+    e = calibrate.batches(encode.encode(c.base, LINEAR), 50, 1 << 40).select("batch", "vec_id", V.doubles(F.col("embedding")).alias("v"), "logits")
+    return e.join(e.select("batch", F.col("vec_id").alias("j"), F.col("v").alias("w"), F.col("logits").alias("m")), "batch").where("vec_id <> j")
+
+
 @query
 def selective_similarity_loss(c: Ctx) -> DataFrame:
-    e = encode.encode(c.base.where("vec_id < 64"), LINEAR).select("vec_id", V.doubles(F.col("embedding")).alias("v"), "logits")
-    p = e.crossJoin(F.broadcast(e.select(F.col("vec_id").alias("j"), F.col("v").alias("w"), F.col("logits").alias("m")))).where("vec_id <> j")
-    p = p.select(F.sqrt(V.l2sq(F.col("v"), F.col("w"))).alias("s_in"), F.sqrt(V.l2sq(F.col("logits"), F.col("m"))).alias("s_emb"))
+    p = _batch_pairs(c).select(F.sqrt(V.l2sq(F.col("v"), F.col("w"))).alias("s_in"), F.sqrt(V.l2sq(F.col("logits"), F.col("m"))).alias("s_emb"))
     return rounded(encode.selective_similarity_loss(p, 1.3, 0.6, BITS, DIM), "loss")
 
 
+@query
+def selective_similarity_loss_cosine(c: Ctx) -> DataFrame:
+    u = lambda x: V.l2_normalize(F.col(x))
+    p = _batch_pairs(c).select(V.dot(u("v"), u("w")).alias("s_in"), V.dot(u("logits"), u("m")).alias("s_emb"))
+    return rounded(encode.selective_similarity_loss_cosine(p, 0.1, 0.7, 0.9), "loss")
+
+
 @query
 def pairwise_l2_matrix(c: Ctx) -> DataFrame:
-    return _scanned(c, V.l2sq_by_norms, "d2")
+    e = calibrate.batches(c.base, 50, 1 << 40).select("batch", "vec_id", V.doubles(F.col("embedding")).alias("v")).withColumn("s", V.dot(F.col("v"), F.col("v")))
+    p = e.join(e.select("batch", F.col("vec_id").alias("j"), F.col("v").alias("w"), F.col("s").alias("t")), "batch").where("vec_id < j")
+    return p.select("vec_id", "j", r6(V.l2sq_of_norms(F.col("s"), F.col("t"), V.dot(F.col("v"), F.col("w"))), "d2"))
 
 
 @query
@@ -601,7 +625,7 @@ def cluster_sizes(c: Ctx) -> DataFrame:
 
 @query
 def bucket_percentiles_dense(c: Ctx) -> DataFrame:
-    return buckets.size_percentiles_dense(buckets.histogram(c.index().coded.where("vec_id % 3 = 0")), BITS)
+    return buckets.size_percentiles_dense(buckets.histogram(c.index().coded), BITS)
 
 
 @query
@@ -642,4 +666,45 @@ def margin_heat_map(c: Ctx) -> DataFrame:
 @query
 def margin_bands(c: Ctx) -> DataFrame:
     p = c.margin_pairs(c.index())
-    return rounded(p.groupBy(F.floor(F.col("y") * 10).alias("band")).agg(F.count("*").alias("n"), F.percentile("x", F.lit(0.5)).alias("p50"), F.percentile("x", F.lit(0.95)).alias("p95")), "p50", "p95")
+    p = p.withColumn("band", F.floor(F.col("y") * 10))
+    return rounded(p.groupBy("band").agg(F.count("*").alias("n")).join(quantile.exact(p, ["band"], F.col("x"), {"p50": 0.5, "p95": 0.95}), "band"), "p50", "p95")
+
+
+@query
+def probed_spans_capped(c: Ctx) -> DataFrame:
+    ix = c.index(POLICY)
+    m = centroid.merged_spans(centroid.spans(c.probes(ix), ix.clusters), 3)
+    return m.select("qid", *(F.col(k).cast("bigint").alias(k) for k in ("bin", "start", "stop")))
+
+
+_trained: dict[tuple[str, str], tuple[encode.Encoder, float]] = {}
+TRAINED_BITS, COVER = 8, 0.95
+
+
+def trained(c: Ctx, sf_dir: str) -> tuple[search.Index, SearchConfig]:
+    """An index of an encoder trained on a bounded sample, and a search whose score limit holds COVER of the calibration queries' true pairs."""
+    key = c.spark.sparkContext.applicationId, sf_dir
+    if key not in _trained:
+        layers = encode.arrow_encoder(search.trained_layers(c.base, TRAINED_BITS, 2048, epochs=15))
+        asked = c.base.where(F.col("vec_id") % EVERY == EVERY // 2).select(F.col("vec_id").alias("qid"), "embedding")
+        _trained[key] = layers, search.reach(search.build(c.base, layers), asked, 10, COVER)
+    layers, limit = _trained[key]
+    return search.build(c.base, layers, cut=storage.reliable), SearchConfig(bits=TRAINED_BITS, lsel=TRAINED_BITS, rmax=TRAINED_BITS, max_score=limit, k=10)
+
+
+def trained_search_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Ctx(spark, sf_dir)
+    return rounded(search.search(*(lambda ix, cfg: (ix, c.queries, cfg))(*trained(c, sf_dir))), "dist")
+
+
+def trained_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recall of the trained search, and the share of all distances that it computes."""
+    c = Ctx(spark, sf_dir)
+    ix, cfg = trained(c, sf_dir)
+    probes, whole = search.probed(ix, c.queries, cfg), c.base.count() * c.queries.count()
+    read = probes.join(ix.hist, "code").agg((F.coalesce(F.sum("n"), F.lit(0)) / whole).alias("share"))
+    return search.recall(ix, c.queries, cfg).crossJoin(read.select(F.round("share", 6).alias("share")))
+
+
+REGISTRY["trained_search_top10"] = trained_search_top10
+REGISTRY["trained_recall"] = trained_recall

@@ -18,7 +18,7 @@ def assigned(stream: DataFrame, layers: list, thr: list[float]) -> DataFrame:
 
 
 def append_to_index(stream: DataFrame, layers: list, thr: list[float], path: str, checkpoint: str):
-    """Write each batch's coded rows to the index's table; a batch that is replayed overwrites its own folder, so it counts once."""
+    """Write each batch's coded rows to the index's table in `path`, the folder that Index.write returned, from where Index.load reads them; a batch that is replayed overwrites its own folder, so it counts once."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/coded_increment/batch={batch_id}")
