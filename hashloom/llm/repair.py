@@ -63,19 +63,22 @@ def compress(seq: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
     """Symbols, where each document ends among them, and the rules (pairs of symbols). Pairs within a document alone are replaced, round
     after round until no pair is left that occurs LEAST times.
 
-    Counts are exact: a hash table of counts sorts out what lies in slots under LEAST, the pairs of the others are counted one by one. The most
+    Counts are exact: a hash table of counts sorts out what lies in slots under LEAST, the pairs of the others are counted one by one. A pair of
+    old symbols never gains occurrences, so after the first round only pairs that were frequent and those beside a new symbol are looked at. The most
     frequent pair of a round loses no overlap to another one, so each round has a pair that is worth a rule and the rounds end."""
     seq, rules, count = seq.astype(np.uint32), [], 0
     slots = 1 << _SLOT_BITS
+    active = np.ones(len(seq), bool)  # places whose pair may be frequent
     while len(seq) > LEAST:
-        a, b = seq[:-1], seq[1:]
-        slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _SLOT_BITS)
         last = ends - 1
-        slot[last[(last >= 0) & (last < len(slot))]] = slots
-        often = np.bincount(slot, minlength=slots + 1) >= LEAST
-        often[slots] = False
-        maybe = np.flatnonzero(often[slot])
+        active[last[last >= 0]] = False
+        active[-1] = False
+        place = np.flatnonzero(active)
+        a, b = seq[place], seq[place + 1]
+        slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _SLOT_BITS)
+        maybe = np.flatnonzero((np.bincount(slot, minlength=slots) >= LEAST)[slot])
         pairs = a[maybe].astype(np.uint64) << np.uint64(32) | b[maybe]
+        maybe = place[maybe]
         ordered = np.sort(pairs)
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
         n = np.diff(np.append(first, len(ordered)))
@@ -89,14 +92,15 @@ def compress(seq: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         at = np.minimum(np.searchsorted(good, pairs), none - 1)
         known = good[at] == pairs
         where, r = maybe[known], rank_of[at[known]]
-        rank = np.full(len(slot), none, np.int32)
-        rank[where] = r
+        active = np.zeros(len(seq), bool)
+        active[where] = True
         left, right = (good[order] >> np.uint64(32)).astype(np.uint32), good[order].astype(np.uint32)
         # where chosen pairs overlap the more frequent wins; runs of one pair (aaaa) are taken from the left
-        around = np.full(len(rank) + 2, none, np.int32)
-        around[1:-1] = rank
-        fits = (r <= around[where + 2]) & (r <= around[where])
-        same = fits & (r == around[where])
+        beside = np.diff(where) == 1
+        after = np.append(np.where(beside, r[1:], none), none)
+        before = np.append(none, np.where(beside, r[:-1], none))
+        fits = (r <= after) & (r <= before)
+        same = fits & (r == before)
         where, r, same = where[fits], r[fits], same[fits]
         if same.any():
             start = np.maximum.accumulate(np.where(~same, where, 0))
@@ -114,8 +118,11 @@ def compress(seq: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         count += len(used)
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
-        seq = seq[keep]
+        seq, active = seq[keep], active[keep]
         ends = ends - np.searchsorted(where + 1, ends)
+        new = where - np.arange(len(where))
+        active[new] = True
+        active[np.maximum(new - 1, 0)] = True
     return seq, ends, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
