@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from array import array
 
@@ -695,6 +696,35 @@ def test_toxicity_learns_from_rows_not_held_out_only(toxic):
     assert a.weights == b.weights and a.bias == b.bias
 
 
+def test_patterns_of_writing_vote(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    abuse = [lambda: "f**k", lambda: "nooooo", lambda: "i d i o t", lambda: "YOU ARE DONE", lambda: "what?!?"]
+    rows = []
+    for k in range(1500):
+        made = [rng.choice(words) for _ in range(30)]
+        if k % 5 == 0:
+            made.insert(rng.randint(0, 30), re.sub("[a-z]", lambda m: rng.choice("abcdefgh"), "xx" + str(k)) + rng.choice("xyz") + "!?" * rng.randint(2, 4))
+        rows.append((k, " ".join(made), int(k % 5 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert any(f in toxicity.PATTERNS for f in model.weights)
+    got = [r for r in rows_of(toxicity.score(docs, model)) if r["held_out"]]
+    assert len(got) > 300 and all(r["predicted"] == (r["doc_id"] % 5 == 0) for r in got)
+    found = [{f for f, p in toxicity.PATTERNS.items() if p.search(f"one {a()} two")} for a in abuse]
+    assert all(len(f) == 1 for f in found) and len(set.union(*found)) == len(toxicity.PATTERNS)
+    calm = "A note from the U.S. Office, 1000000 rows (see a, b). Is it? Yes! NATO and the EU met; e-mail x_y."
+    assert not any(p.search(calm) for p in toxicity.PATTERNS.values())
+
+
+def test_patterns_take_linear_time():
+    for text in ("A" * 10**6, "a " * 500_000, "ABC " * 250_000, "AB- " * 250_000, "*" * 10**6, "!" * 10**6, "a.b" * 300_000):
+        begin = time.perf_counter()
+        for p in toxicity.PATTERNS.values():
+            sum(1 for _ in p.finditer(text))
+        assert time.perf_counter() - begin < 10
+
+
 def test_toxicity_without_labels(docs, toxic):
     assert {r["score"] for r in rows_of(toxicity.score(docs, toxicity.fit(docs, toxic[1].where("false"))))} == {0.0}
 
