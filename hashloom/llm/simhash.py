@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .graph import components
-from .shared import id_and_text, stored
+from .shared import drop_stored, id_and_text, stored
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints of a tile, about, and tiles of a cell that a task compares with at once: they bound a task's memory.
@@ -122,19 +122,18 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
 
 def _marked(docs: DataFrame, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp of every row; fp, root, component_id of every fingerprint). root: the fingerprint that stands for the group."""
+    """(doc_id, fp of every row; fp, least doc_id, root of every fingerprint). root: the fingerprint that stands for the group."""
     marked = stored(fingerprints(docs), "fingerprints")
     least = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(least.select("fp"), radius, tile))
-    rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked, rooted.join(lowest, "root").select("fp", "root", "component_id")
+    return marked, least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """doc_id, fp, component_id of every document."""
-    marked, of_fp = _marked(docs, radius, tile)
-    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    marked, rooted = _marked(docs, radius, tile)
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -145,18 +144,18 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
     """One row of each group of near-duplicates, with all its columns: that of the smallest doc_id (rows without one come last), then of the
     smallest fingerprint. Rows are told apart by doc_id and fingerprint, so rows that share a doc_id but not a text are judged each; of rows
     alike in both one stays."""
-    marked, of_fp = _marked(docs, radius, tile)
-    rows = marked.groupBy("doc_id", "fp").agg(F.count("*").alias("n")).join(of_fp.select("fp", "root"), "fp")
-    rows = stored(rows.select("root", "n", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp").alias("key")), "rows")
-    first = rows.groupBy("root").agg(F.min("key").alias("first"))
-    judged = rows.join(first, "root")
-    # what goes grows with the corpus, so it is merged with the documents and never broadcast
-    gone = judged.where(~F.col("key").eqNullSafe(F.col("first"))).select("key.doc_id", "key.fp")
-    twice = judged.where(F.col("key").eqNullSafe(F.col("first")) & (F.col("n") > 1)).select("key.doc_id", "key.fp")
+    marked, rooted = _marked(docs, radius, tile)
+    # the first row of a group follows from its distinct fingerprints, by a minimum that is taken before the exchange: no key holds a group
+    key = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), "fp")
+    first = stored(rooted.groupBy("root").agg(F.min(key).alias("key")).select("key.doc_id", "key.fp"), "first")
+    twice = stored(marked.groupBy("doc_id", "fp").count().where("count > 1").select("doc_id", "fp"), "twice")
+    for done in (marked, rooted):
+        drop_stored(done)
     mark = f"_fp_{uuid.uuid4().hex}"
     own = _with_fingerprint(docs, mark)
     same = lambda keys: own["doc_id"].cast("long").eqNullSafe(keys["doc_id"]) & (own[mark] == keys["fp"])
-    kept = own.join(gone.hint("merge"), same(gone), "left_anti")
+    # what stays grows with the corpus, so it is merged with the documents and never broadcast
+    kept = own.join(first.hint("merge"), same(first), "left_semi")
     if twice.isEmpty():
         return kept.drop(mark)
     once = kept.join(twice.hint("merge"), same(twice), "left_semi").dropDuplicates(["doc_id", mark])
