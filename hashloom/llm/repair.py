@@ -59,6 +59,10 @@ def encoder(path: str) -> bpe.PieceEncoder:
     return _encoders[path]
 
 
+def _slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _SLOT_BITS)
+
+
 def compress(seq: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, where each document ends among them, and the rules (pairs of symbols). Pairs within a document alone are replaced, round
     after round until no pair is left that occurs LEAST times.
@@ -75,10 +79,10 @@ def compress(seq: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         active[-1] = False
         place = np.flatnonzero(active)
         a, b = seq[place], seq[place + 1]
-        slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _SLOT_BITS)
+        slot = _slot(a, b)
         maybe = np.flatnonzero((np.bincount(slot, minlength=slots) >= LEAST)[slot])
         pairs = a[maybe].astype(np.uint64) << np.uint64(32) | b[maybe]
-        maybe = place[maybe]
+        slot, maybe = slot[maybe], place[maybe]
         ordered = np.sort(pairs)
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
         n = np.diff(np.append(first, len(ordered)))
@@ -89,7 +93,13 @@ def compress(seq: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         order = np.argsort(-n, kind="stable")  # most frequent first
         rank_of = np.empty(none, np.int32)
         rank_of[order] = np.arange(none)
-        at = np.minimum(np.searchsorted(good, pairs), none - 1)
+        # each pair's place among the frequent ones: by slot, and by search where frequent pairs share one
+        home = _slot((good >> np.uint64(32)).astype(np.uint32), good.astype(np.uint32))
+        table = np.zeros(slots, np.int32)
+        table[home] = np.arange(none)
+        at = table[slot]
+        shared = np.flatnonzero((np.bincount(home, minlength=slots) > 1)[slot])
+        at[shared] = np.minimum(np.searchsorted(good, pairs[shared]), none - 1)
         known = good[at] == pairs
         where, r = maybe[known], rank_of[at[known]]
         active = np.zeros(len(seq), bool)
