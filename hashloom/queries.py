@@ -87,7 +87,10 @@ def query(f: Callable[[Ctx], DataFrame]) -> Callable[[Ctx], DataFrame]:
 
 
 def r6(c: Column | str, name: str | None = None) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
+    """Rounded to six digits as SQL engines round doubles: the product with 10**6, to the nearest integer. Spark's own `round` goes by the decimal
+    digits that a double is printed with, which differs where these end in an exact half, as those of centroids (nine digits) do."""
+    scale = F.lit(1e6)
+    return (F.round((F.col(c) if isinstance(c, str) else c) * scale) / scale).alias(name or c)
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
