@@ -31,7 +31,6 @@ from .shared import id_and_text, stored
 BLOCK_IDS = 1 << 20
 #: The least count of a pair that is replaced, and the least number of its replacements in a round that pays for a rule.
 LEAST, WORTH = 12, 4
-_SLOT_BITS = 20
 
 
 _encoders: dict[str, bpe.PieceEncoder] = {}
@@ -46,11 +45,9 @@ def encoder(path: str) -> bpe.PieceEncoder:
 
         def learn(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             # a piece is what the library's splitter hands to its model: bytes written as letters
-            plain = "\0".join(words)
-            if plain.isascii() and plain.replace("\0", "").isprintable():
-                written = plain.replace(" ", letter[32]).split("\0")
-            else:
-                written = [w.replace(" ", letter[32]) if w.isascii() and w.isprintable() else "".join(map(letter.__getitem__, w.encode())) for w in words]
+            written = "\0".join(words).replace(" ", letter[32]).split("\0") if words else []
+            for k in [k for k, w in enumerate(words) if not (w.isascii() and w.isprintable())]:
+                written[k] = "".join(map(letter.__getitem__, words[k].encode()))
             got = list(map(piece, written))
             n = np.fromiter(map(len, got), np.int64, len(got))
             return np.fromiter(map(token_id, chain.from_iterable(got)), np.uint32, int(n.sum())), n
@@ -59,59 +56,54 @@ def encoder(path: str) -> bpe.PieceEncoder:
     return _encoders[path]
 
 
-def _slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _SLOT_BITS)
+def _grouped(seq: np.ndarray, place: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of symbols (up to `top`) that begin at the places, in order, and the places in the same order."""
+    wide, deep = np.uint64(top.bit_length()), np.uint64(len(seq).bit_length())
+    pairs = seq[place].astype(np.uint64) << wide | seq[place + 1]
+    if 2 * int(wide) + int(deep) > 64:
+        order = np.argsort(pairs, kind="stable")
+        return pairs[order], place[order]
+    both = np.sort(pairs << deep | place.astype(np.uint64))  # a pair and its place fit one number
+    return both >> deep, (both & ((np.uint64(1) << deep) - np.uint64(1))).astype(np.int64)
 
 
 def compress(seq: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, where each document ends among them, and the rules (pairs of symbols). Pairs within a document alone are replaced, round
     after round until no pair is left that occurs LEAST times.
 
-    Counts are exact: a hash table of counts sorts out what lies in slots under LEAST, the pairs of the others are counted one by one. A pair of
-    old symbols never gains occurrences, so after the first round only pairs that were frequent and those beside a new symbol are looked at. The most
-    frequent pair of a round loses no overlap to another one, so each round has a pair that is worth a rule and the rounds end."""
+    Counts are exact: places are sorted by their pair. A pair of old symbols never gains occurrences, so after the first round only pairs that
+    were frequent and those beside a new symbol are looked at. The most frequent pair of a round loses no overlap to another one, so each round
+    has a pair that is worth a rule and the rounds end."""
     seq, rules, count = seq.astype(np.uint32), [], 0
-    slots = 1 << _SLOT_BITS
     active = np.ones(len(seq), bool)  # places whose pair may be frequent
     while len(seq) > LEAST:
         last = ends - 1
         active[last[last >= 0]] = False
         active[-1] = False
-        place = np.flatnonzero(active)
-        a, b = seq[place], seq[place + 1]
-        slot = _slot(a, b)
-        maybe = np.flatnonzero((np.bincount(slot, minlength=slots) >= LEAST)[slot])
-        pairs = a[maybe].astype(np.uint64) << np.uint64(32) | b[maybe]
-        slot, maybe = slot[maybe], place[maybe]
-        ordered = np.sort(pairs)
-        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
-        n = np.diff(np.append(first, len(ordered)))
-        good, n = ordered[first[n >= LEAST]], n[n >= LEAST]
-        if not len(good):
+        top = base + count
+        pairs, place = _grouped(seq, np.flatnonzero(active), top)
+        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(pairs)))
+        often = n >= LEAST
+        good, none = pairs[first[often]], int(often.sum())
+        if not none:
             break
-        none = len(good)
-        order = np.argsort(-n, kind="stable")  # most frequent first
-        rank_of = np.empty(none, np.int32)
-        rank_of[order] = np.arange(none)
-        # each pair's place among the frequent ones: by slot, and by search where frequent pairs share one
-        home = _slot((good >> np.uint64(32)).astype(np.uint32), good.astype(np.uint32))
-        table = np.zeros(slots, np.int32)
-        table[home] = np.arange(none)
-        at = table[slot]
-        shared = np.flatnonzero((np.bincount(home, minlength=slots) > 1)[slot])
-        at[shared] = np.minimum(np.searchsorted(good, pairs[shared]), none - 1)
-        known = good[at] == pairs
-        where, r = maybe[known], rank_of[at[known]]
-        active = np.zeros(len(seq), bool)
-        active[where] = True
-        left, right = (good[order] >> np.uint64(32)).astype(np.uint32), good[order].astype(np.uint32)
+        order = np.argsort(-n[often], kind="stable")  # most frequent first
+        # each place's pair as its rank, `none` where it isn't frequent
+        rank_of = np.full(len(n), none, np.int32)
+        rank_of[np.flatnonzero(often)[order]] = np.arange(none)
+        rank = np.full(len(seq) + 1, none, np.int32)  # the last one stands for what is beside the ends
+        rank[place] = np.repeat(rank_of, n)
+        wide = np.uint64(top.bit_length())
+        left, right = (good[order] >> wide).astype(np.uint32), (good[order] & ((np.uint64(1) << wide) - np.uint64(1))).astype(np.uint32)
         # where chosen pairs overlap the more frequent wins; runs of one pair (aaaa) are taken from the left
-        beside = np.diff(where) == 1
-        after = np.append(np.where(beside, r[1:], none), none)
-        before = np.append(none, np.where(beside, r[:-1], none))
-        fits = (r <= after) & (r <= before)
-        same = fits & (r == before)
-        where, r, same = where[fits], r[fits], same[fits]
+        r, after = rank[:-1], rank[1:]
+        active = r < none
+        fits = active & (r <= after)
+        fits[1:] &= r[1:] <= r[:-1]
+        where = np.flatnonzero(fits)
+        same = r[where] == rank[where - 1]  # place 0 is compared with the last one
+        r = r[where]
         if same.any():
             start = np.maximum.accumulate(np.where(~same, where, 0))
             even = (where - start) % 2 == 0
@@ -119,15 +111,17 @@ def compress(seq: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
             apart = np.append(True, np.diff(where) > 1)
             where, r = where[apart], r[apart]
         number = np.bincount(r, minlength=none)
-        worth = number[r] >= WORTH
-        where, r = where[worth], r[worth]
-        used = np.flatnonzero(number >= WORTH)
+        worth = number >= WORTH
+        taken = np.flatnonzero(worth[r])
+        where, r = where[taken], r[taken]
+        used = np.flatnonzero(worth)
         number[used] = base + count + np.arange(len(used))
         seq[where] = number[r]
         rules.append(np.stack((left[used], right[used]), axis=1))
         count += len(used)
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
+        keep = np.flatnonzero(keep)
         seq, active = seq[keep], active[keep]
         ends = ends - np.searchsorted(where + 1, ends)
         new = where - np.arange(len(where))
@@ -148,14 +142,24 @@ def levels(rules: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def _lanes(width: int) -> Iterator[tuple[int, int, int]]:
+    """Eight numbers fill `width` bytes, high bits first: which number has bits in which byte, and how far right it is shifted for it."""
+    for j in range(8):
+        for k in range(j * width // 8, ((j + 1) * width + 7) // 8):
+            yield j, k, (j + 1) * width - 8 * (k + 1)
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """A column: the width in bits of its largest number, then all in that width."""
-    width = int(numbers.max()).bit_length() if len(numbers) else 0
-    out = [bytes([width])]
-    for at in range(0, len(numbers) if width else 0, 1 << 16):  # a multiple of eight, so each part ends with a byte
-        bits = np.unpackbits(numbers[at : at + (1 << 16)].astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
-        out.append(np.packbits(bits).tobytes())
-    return b"".join(out)
+    n = len(numbers)
+    width = int(numbers.max()).bit_length() if n else 0
+    lane = np.zeros((8, (n + 7) // 8), np.uint32)
+    for j in range(8):
+        lane[j, : (n + 7 - j) // 8] = numbers[j::8]
+    out = np.zeros((width, lane.shape[1]), np.uint8)
+    for j, k, right in _lanes(width):
+        out[k] |= (lane[j] >> np.uint32(right) if right >= 0 else lane[j] << np.uint32(-right)).astype(np.uint8)
+    return bytes([width]) + out.T.tobytes()[: (n * width + 7) // 8]
 
 
 def unpacked(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
@@ -164,11 +168,14 @@ def unpacked(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     out = np.zeros(n, np.uint32)
     end = at + (n * width + 7) // 8
     raw = np.frombuffer(data, np.uint8, end - at, at)
-    for k in range(0, n if width else 0, 1 << 16):
-        some = min(1 << 16, n - k)
-        bits = np.zeros((some, 32), np.uint8)
-        bits[:, 32 - width :] = np.unpackbits(raw[k * width // 8 : (k * width + some * width + 7) // 8], count=some * width).reshape(some, width)
-        out[k : k + some] = np.packbits(bits, axis=1).view(">u4").ravel()
+    if width:
+        raw = np.append(raw, np.zeros(-len(raw) % width, np.uint8)).reshape(-1, width).T.astype(np.uint32)
+        lane = np.zeros((8, raw.shape[1]), np.uint32)
+        for j, k, right in _lanes(width):
+            lane[j] |= raw[k] << np.uint32(right) if right >= 0 else raw[k] >> np.uint32(-right)
+        lane &= np.uint32((1 << width) - 1)
+        for j in range(8):
+            out[j::8] = lane[j, : (n + 7 - j) // 8]
     return out, end
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from array import array
 
@@ -483,6 +484,29 @@ def test_blocks_are_smaller_than_plain_ids(spark):
     assert blocks[1] < 2 * blocks[0]  # 16 bits an id would do for this vocabulary
 
 
+def test_repair_work_follows_the_block():
+    """A small block needs no tables of a fixed size in each round; pairs too wide to stand beside their place in 64 bits give the same rules."""
+    rng = np.random.default_rng(3)
+    seq, ends = rng.integers(0, 40, 20_000).astype(np.uint32), np.arange(100, 20_001, 100)
+    tracemalloc.start()
+    symbols, stops, rules = repair.compress(seq, ends, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rules) and peak < 3_000_000
+    wide = repair.compress(seq, ends, 1 << 28)
+    shifted = lambda x: np.where(x < 40, x, x - np.uint32((1 << 28) - 40))
+    assert (shifted(wide[0]) == symbols).all() and (wide[1] == stops).all() and (shifted(wide[2]) == rules).all()
+
+
+@pytest.mark.parametrize("width", [1, 5, 8, 17, 32])
+def test_repair_columns_are_plain_bits(width):
+    x = np.random.default_rng(width).integers(0, 1 << width, 1003, dtype=np.uint64).astype(np.uint32)
+    x[0] = (1 << width) - 1
+    bits = "".join(format(v, f"0{width}b") for v in x.tolist())
+    bits += "0" * (-len(bits) % 8)
+    assert repair.packed(x) == bytes([width]) + int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
 def test_repair_goes_on_until_no_pair_is_frequent():
     from collections import Counter
 
